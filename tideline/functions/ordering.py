@@ -157,10 +157,12 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFram
     )
 
 
-def spread_lookup(left: DataFrame, right: DataFrame, key: str, copies: int = 16) -> DataFrame:
+def spread_lookup(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], copies: int = 16
+) -> DataFrame:
     """Inner join where one key may hold most of ``left``; ``right`` has one row per key."""
     salt = F.pmod(F.xxhash64(*left.columns), F.lit(copies)).cast("int")
     replicated = right.withColumn(
         "_salt", F.explode(F.array(*[F.lit(i) for i in range(copies)]))
     )
-    return left.withColumn("_salt", salt).join(replicated, [key, "_salt"]).drop("_salt")
+    return left.withColumn("_salt", salt).join(replicated, [*keys, "_salt"]).drop("_salt")

@@ -218,6 +218,7 @@ class ValueParams:
     boosting_subsample: float = 0.8
     boosting_feature_share: float = 0.8
     tweedie_variance_power: float = 1.5
+    tweedie_penalty: float = 0.01
     selection_metric: str = "mae"
     horizon_days: float = 365.0
     discount_rate_annual: float = 0.0
