@@ -1,5 +1,5 @@
 """End-to-end plans and the registered queries."""
 
-from tideline.plans import customers, lines  # noqa: F401
+from tideline.plans import customers, lines, scores, targeting  # noqa: F401
 from tideline.plans.registry import ORACLES as ALL_ORACLES  # noqa: F401
 from tideline.plans.registry import QUERIES as ALL_QUERIES  # noqa: F401

@@ -6,9 +6,12 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tideline.operators.baseline import baseline_scores
 from tideline.operators.cleaning import clean_transactions
 from tideline.operators.curation import curate_transactions
+from tideline.operators.explain import customer_top_factors
 from tideline.operators.features import (
     Cutoffs,
     cohort_panel,
@@ -16,8 +19,21 @@ from tideline.operators.features import (
     customer_labels,
     invoice_rollup,
     order_rollup,
+    temporal_split,
+)
+from tideline.operators.prioritisation import retention_priorities
+from tideline.operators.recommendations import recommendation_table
+from tideline.operators.segmentation import name_clusters, profile_joins, rfm_rule_segments
+from tideline.operators.survival import survival_input
+from tideline.operators.value import value_and_risk
+from tideline.params import (
+    CLUSTER_FEATURES,
+    ChurnParams,
+    CurationParams,
+    PriorityParams,
+    QualityExpectations,
+    TemporalParams,
 )
-from tideline.params import ChurnParams, CurationParams, QualityExpectations, TemporalParams
 from tideline.session import materialise
 from tideline.sources.star_schema import raw_transactions
 
@@ -123,3 +139,111 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         "churn_model_input",
         lambda: cohort_panel(lean_curated(spark, sf_dir), COHORTS.cohort_dates, TEMPORAL),
     )
+
+
+def split(spark: SparkSession, sf_dir: str, dates: tuple[str, ...]) -> DataFrame:
+    return temporal_split(panel(spark, sf_dir), dates)
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel with a churn probability and a 90-day value by plain formulas.
+
+    Stands in for the models where a result has to be checked value by value.
+    """
+    late = (F.col("recency_days") - 90) / F.lit(90.0)
+    return panel(spark, sf_dir).withColumns(
+        {
+            "churn_probability": 1 / (1 + F.exp(-late)),
+            "predicted_90d_value": F.greatest(F.col("revenue_per_month") * 3, F.lit(0.0)),
+        }
+    )
+
+
+def scored_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal_split(scored(spark, sf_dir), COHORTS.test_cohorts)
+
+
+def value_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test = scored_test(spark, sf_dir)
+    predicted = test.select(
+        "customer_id",
+        "cohort_date",
+        F.col("future_revenue").alias("actual_future_revenue"),
+        "predicted_90d_value",
+    )
+    return value_and_risk(test, predicted, test)
+
+
+def rule_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with their rule segment, and clusters by order frequency named after it."""
+    frequency = F.least(F.floor(F.col("n_orders") / 5), F.lit(4)).cast("int")
+    clustered = features(spark, sf_dir).select("customer_id", frequency.alias("cluster"))
+    rules = stage_table(
+        spark, sf_dir, "rule_segments", lambda: rfm_rule_segments(features(spark, sf_dir))
+    )
+    return name_clusters(clustered.join(rules, "customer_id"))
+
+
+def segment_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = features(spark, sf_dir)
+    return profile_joins(
+        rule_segments(spark, sf_dir), found, labels(spark, sf_dir), baseline_scores(found)
+    )
+
+
+def survival_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_rule = rule_segments(spark, sf_dir).select(
+        "customer_id", F.col("rule_segment").alias("segment_name")
+    )
+    return survival_input(features(spark, sf_dir), labels(spark, sf_dir), by_rule)
+
+
+PRIORITY = PriorityParams(budgets=(100, 250, 500, 1000))
+
+
+def priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage_table(
+        spark,
+        sf_dir,
+        "retention_priorities",
+        lambda: retention_priorities(
+            value_risk(spark, sf_dir),
+            scored_test(spark, sf_dir),
+            rule_segments(spark, sf_dir),
+            PRIORITY,
+        ),
+    )
+
+
+ATTRIBUTED = CLUSTER_FEATURES
+
+
+def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance from the mean in deviations as a stand-in for model contributions."""
+    test = scored_test(spark, sf_dir)
+    overall = test.agg(
+        F.struct(
+            *[F.avg(c).alias(f"m_{c}") for c in ATTRIBUTED],
+            *[F.stddev_pop(c).alias(f"s_{c}") for c in ATTRIBUTED],
+        )
+    ).scalar()
+    distance = [
+        F.coalesce((F.col(c) - F.col(f"_all.m_{c}")) / F.col(f"_all.s_{c}"), F.lit(0.0))
+        for c in ATTRIBUTED
+    ]
+    return test.withColumn("_all", overall).select(
+        "customer_id", "cohort_date", F.array(*distance).alias("shap")
+    )
+
+
+def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return customer_top_factors(attributions(spark, sf_dir), ATTRIBUTED)
+
+
+def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage_table(
+        spark,
+        sf_dir,
+        "customer_recommendations",
+        lambda: recommendation_table(priorities(spark, sf_dir), factors(spark, sf_dir)),
+    )
