@@ -74,22 +74,22 @@ def chi_square_assoc(df: DataFrame, row: str, column: str) -> DataFrame:
     cells = (
         df.filter(F.col(row).isNotNull() & F.col(column).isNotNull())
         .groupBy(row, column)
-        .agg(F.count(F.lit(1)).alias("o"))
+        .agg(F.count(F.lit(1)).alias("_o"))
     )
-    by_row = cells.groupBy(row).agg(F.sum("o").alias("r"))
-    by_column = cells.groupBy(column).agg(F.sum("o").alias("c"))
+    by_row = cells.groupBy(row).agg(F.sum("_o").alias("_r"))
+    by_column = cells.groupBy(column).agg(F.sum("_o").alias("_c"))
     # sum of (o - e)^2 / e = n (sum of o^2 / (r c) - 1); empty cells add nothing to it.
     shares = (
         cells.join(by_row, row)
         .join(by_column, column)
         .agg(
-            F.sum("o").alias("n"),
-            F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("s"),
+            F.sum("_o").alias("n"),
+            F.sum(F.col("_o") * F.col("_o") / (F.col("_r") * F.col("_c"))).alias("s"),
         )
     )
     rows, columns = (
         part.agg(F.struct(F.count(F.lit(1)).alias("k"), F.sum(1 / F.col(size)).alias("inv"))).scalar()
-        for part, size in ((by_row, "r"), (by_column, "c"))
+        for part, size in ((by_row, "_r"), (by_column, "_c"))
     )
     raw = shares.withColumns({"_rows": rows, "_columns": columns}).select(
         "n",
