@@ -16,5 +16,8 @@ def spark():
     session.conf.set("spark.sql.shuffle.partitions", "4")
     # Small frames would shrink to one partition; the carries between blocks need several.
     session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    # Compiling code costs more than it saves on frames this small.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()

@@ -91,8 +91,9 @@ def clean_transactions(raw: DataFrame, params: CleaningParams = CleaningParams()
     df = drop_unusable(df)
     if params.drop_missing_customer:
         df = drop_anonymous(df)
-    df = line_revenue(flag_return(flag_cancellation(df)))
     df = flag_non_product(df, params.non_product_codes)
     if params.drop_non_product:
         df = drop_non_product(df)
-    return invoice_month(dedup_lines(df, params.dedup_ignores_source))
+    # Flags and revenue follow from the columns compared here, so they can wait.
+    df = dedup_lines(df, params.dedup_ignores_source)
+    return invoice_month(line_revenue(flag_return(flag_cancellation(df))))
