@@ -229,7 +229,7 @@ def regression_metrics(
         (F.avg(p) / (F.avg(y) + RATIO_GUARD)).alias("prediction_to_actual_ratio"),
     )
     sizes = flat.select(*by, top_size(F.col("n_rows"), 0.10).alias("_top"))
-    ranked = global_rank(rows, [p.desc(), F.col(tie)], by=by).join(F.broadcast(sizes), list(by))
+    ranked = global_rank(rows, [p.desc(), F.col(tie)], by=by).join(sizes, list(by))
     capture = ranked.groupBy(*by).agg(
         (
             F.sum(F.when(F.col("rank") <= F.col("_top"), y).otherwise(0.0))

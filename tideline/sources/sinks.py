@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Parquet table; partition the panel by cohort and lines by month."""
-    writer = df.write.mode("overwrite")
+    """Parquet table; partition the panel by cohort and lines by month.
+
+    Rebalancing brings a folder's rows together, so that not every task writes a file
+    into every folder, and splits folders that hold too much for one task.
+    """
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+        df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(
+            *partition_by
+        ).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
