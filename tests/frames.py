@@ -6,7 +6,6 @@ from datetime import datetime
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
 
 RAW_SCHEMA = (
     "invoice_no string, stock_code string, description string, quantity string, "
@@ -98,6 +97,3 @@ def only(df) -> dict:
     assert len(rows) == 1
     return rows[0].asDict()
 
-
-def months_of(column):
-    return F.date_format(column, "yyyy-MM")

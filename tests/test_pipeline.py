@@ -51,10 +51,9 @@ def test_every_sql_belongs_to_a_query():
 @pytest.mark.parametrize(
     "name",
     [
-        "load_raw", "clean_transactions", "dq_issues", "curated_dq_report", "feature_assembly",
-        "churn_labels", "cohort_panel", "regression_metrics", "roc_auc", "concordance",
-        "rfm_rule_segments", "compare_strategies", "recommendation_table", "mann_whitney",
-        "describe_numeric", "pareto_curve",
+        "clean_transactions", "dq_issues", "curated_dq_issues", "feature_assembly", "churn_labels",
+        "regression_metrics", "roc_auc", "rfm_rule_segments", "compare_strategies",
+        "recommendation_table", "one_hot", "baseline_report",
     ],
 )
 def test_query_against_sql(spark, name):

@@ -19,6 +19,11 @@ def as_timestamp(value: str) -> Column:
     return F.lit(value).cast("timestamp_ntz")
 
 
+def month_text(date: Column) -> Column:
+    """``yyyy-MM``, without a detour through the session's time zone."""
+    return F.substring(date.cast("string"), 1, 7)
+
+
 def elapsed_days(earlier: Column, later: Column) -> Column:
     """Whole 24-hour periods from ``earlier`` to ``later`` (not midnights crossed)."""
     return F.extract(F.lit("DAY"), later - earlier)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import zero_if_undefined
-from tideline.params import BaselineParams
+from tideline.params import VALUE_PROXY_DEFINITION, BaselineParams
 
 COPIED = (
     "customer_id",
@@ -65,7 +65,7 @@ def baseline_report(
     return counts.select(
         F.lit("baseline_recency_rule").alias("strategy"),
         F.lit(f"recency_days > {params.inactivity_days}").alias("rule"),
-        F.lit("12 x observed monthly net revenue (annualised run-rate)").alias(
+        F.lit(VALUE_PROXY_DEFINITION).alias(
             "value_proxy_definition"
         ),
         "*",

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.functions.scalars import month_text
 from tideline.params import NON_PRODUCT_CODES, CleaningParams
 from tideline.sources.loaders import require_columns
 
@@ -83,7 +84,7 @@ def dedup_lines(df: DataFrame, ignore_source: bool = False) -> DataFrame:
 
 
 def invoice_month(df: DataFrame) -> DataFrame:
-    return df.withColumn("invoice_month", F.date_format("invoice_date", "yyyy-MM"))
+    return df.withColumn("invoice_month", month_text(F.col("invoice_date")))
 
 
 def clean_transactions(raw: DataFrame, params: CleaningParams = CleaningParams()) -> DataFrame:

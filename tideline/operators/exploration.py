@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.ordering import quantiles, running_totals
-from tideline.functions.scalars import count_if, elapsed_days, money_sum
+from tideline.functions.scalars import count_if, elapsed_days, money_sum, month_text
 from tideline.operators.value import largest_share
 
 PERCENTILES = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -22,7 +22,7 @@ def with_helper_columns(raw: DataFrame) -> DataFrame:
             "is_cancellation": F.coalesce(F.upper("invoice_no").startswith("C"), F.lit(False)),
             "line_revenue": F.col("quantity").try_cast("double")
             * F.col("unit_price").try_cast("double"),
-            "invoice_month": F.date_format("invoice_date", "yyyy-MM"),
+            "invoice_month": month_text(F.col("invoice_date")),
             "missing_customer": F.col("customer_id").isNull(),
         }
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import count_if, money_sum
-from tideline.params import REQUIRED_COLUMNS, QualityExpectations
+from tideline.params import ISSUE_TEXTS, REQUIRED_COLUMNS, QualityExpectations
 
 ISSUE_TYPE = "array<struct<level:string,message:string>>"
 CURATED_COLUMNS = (
@@ -32,6 +32,11 @@ def _issues(*candidates: Column) -> Column:
     return F.filter(F.array(*candidates), lambda issue: issue.isNotNull()).cast(ISSUE_TYPE)
 
 
+def _dated(kind: str, found: Column, bound: Column) -> Column:
+    before, between = ISSUE_TEXTS[kind]
+    return F.concat(F.lit(before), found.cast("date"), F.lit(between), bound.cast("date"))
+
+
 def _has_error(issues: Column) -> Column:
     return F.exists(issues, lambda issue: issue["level"] == "error")
 
@@ -68,34 +73,30 @@ def dq_report(
 
     first, last = F.col("invoice_date_min"), F.col("invoice_date_max")
     filled = F.col("n_rows") > 0
-    candidates = [_issue(~filled, "error", "Cleaned transactions dataset is empty")]
+    candidates = [_issue(~filled, "error", ISSUE_TEXTS["empty"])]
     candidates += [
-        _issue(F.lit(True), "error", f"Missing required column: {name}") for name in absent
+        _issue(F.lit(True), "error", ISSUE_TEXTS["missing_column"].format(name)) for name in absent
     ]
     candidates += [
         _issue(
-            F.col("_null_customers") > 0, "error", "Null customer_id values present after cleaning"
+            F.col("_null_customers") > 0, "error", ISSUE_TEXTS["null_customer"]
         ),
         _issue(
-            F.col("_null_dates") > 0, "error", "Null invoice_date values present after cleaning"
+            F.col("_null_dates") > 0, "error", ISSUE_TEXTS["null_date"]
         ),
         _issue(
             filled & (F.col("n_customers") < 2),
             "warning",
-            "Fewer than two unique customers in the dataset",
+            ISSUE_TEXTS["few_customers"],
         ),
     ]
     if expected.min_invoice_date:
         bound = F.lit(expected.min_invoice_date).cast("timestamp_ntz")
-        text = F.concat(
-            F.lit("Earliest invoice "), first.cast("date"), F.lit(" precedes "), bound.cast("date")
-        )
+        text = _dated("early", first, bound)
         candidates.append(_issue(first < bound, "warning", text))
     if expected.max_invoice_date:
         bound = F.lit(expected.max_invoice_date).cast("timestamp_ntz")
-        text = F.concat(
-            F.lit("Latest invoice "), last.cast("date"), F.lit(" is after "), bound.cast("date")
-        )
+        text = _dated("late", last, bound)
         candidates.append(_issue(last > bound, "warning", text))
 
     money = {c: F.coalesce(F.round(c, 2), F.lit(0.0)) for c in ("total_net_revenue", "gross_revenue")}
@@ -172,33 +173,33 @@ def curated_dq_report(
     listed = F.concat(F.lit("['"), F.array_join("_sample", "', '"), F.lit("']"))
     missing = str([c for c in CURATED_COLUMNS if c in absent])
     candidates = [
-        _issue(F.col("n_rows") == 0, "error", "Curated transactions dataset is empty"),
-        _issue(F.lit(bool(absent)), "error", f"Missing curated columns: {missing}"),
+        _issue(F.col("n_rows") == 0, "error", ISSUE_TEXTS["empty_curated"]),
+        _issue(F.lit(bool(absent)), "error", ISSUE_TEXTS["missing_curated"].format(missing)),
         _issue(
             F.col("_bad_codes") > 0,
             "error",
             F.concat(
                 F.col("_bad_codes").cast("string"),
-                F.lit(f" stock codes fail format {pattern}: "),
+                F.lit(ISSUE_TEXTS["bad_codes"].format(pattern)),
                 listed,
             ),
         ),
         _issue(
             F.col("_negative_prices") > 0,
             "error",
-            F.concat(F.col("_negative_prices").cast("string"), F.lit(" rows have negative unit_price")),
+            F.concat(F.col("_negative_prices").cast("string"), F.lit(ISSUE_TEXTS["negative_price"])),
         ),
         _issue(
             F.col("_null_rows") > 0,
             "error",
-            F.concat(F.col("_null_rows").cast("string"), F.lit(" rows have nulls in critical columns")),
+            F.concat(F.col("_null_rows").cast("string"), F.lit(ISSUE_TEXTS["null_rows"])),
         ),
         _issue(
             F.col("n_zero_price_lines") > 0,
             "info",
             F.concat(
                 F.col("n_zero_price_lines").cast("string"),
-                F.lit(" zero-price lines flagged and excluded from monetary features"),
+                F.lit(ISSUE_TEXTS["zero_price"]),
             ),
         ),
     ]

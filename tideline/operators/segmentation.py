@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tideline.functions.ordering import global_rank
 from tideline.functions.scalars import lookup, rounded
 from tideline.operators.modelling import impute_median, standard_scale
-from tideline.params import STRATEGY_FALLBACK, SegmentationParams
+from tideline.params import STRATEGY_FALLBACK, VALUE_PROXY_DEFINITION, SegmentationParams
 from tideline.session import materialise
 
 QUINTILES = 5
@@ -361,7 +361,7 @@ def segmentation_report(
     clusters = segment_profiles(data, params=params)
     return result.report.select(
         "*",
-        F.lit("12 x observed monthly net revenue (annualised run-rate)").alias(
+        F.lit(VALUE_PROXY_DEFINITION).alias(
             "value_proxy_definition"
         ),
         rows_of(clusters).alias("segments"),

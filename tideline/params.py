@@ -105,6 +105,22 @@ STRATEGY_SCORES = {
     "expected_clv": "expected_future_clv",
     "revenue_at_risk": "revenue_at_risk",
 }
+VALUE_PROXY_DEFINITION = "12 x observed monthly net revenue (annualised run-rate)"
+ISSUE_TEXTS = {
+    "empty": "Cleaned transactions dataset is empty",
+    "missing_column": "Missing required column: {}",
+    "null_customer": "Null customer_id values present after cleaning",
+    "null_date": "Null invoice_date values present after cleaning",
+    "few_customers": "Fewer than two unique customers in the dataset",
+    "early": ("Earliest invoice ", " precedes "),
+    "late": ("Latest invoice ", " is after "),
+    "empty_curated": "Curated transactions dataset is empty",
+    "missing_curated": "Missing curated columns: {}",
+    "bad_codes": " stock codes fail format {}: ",
+    "negative_price": " rows have negative unit_price",
+    "null_rows": " rows have nulls in critical columns",
+    "zero_price": " zero-price lines flagged and excluded from monetary features",
+}
 CAPTURE_FRACTIONS = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.75, 1.0)
 RATIO_EPSILON = 1e-6
 DAYS_PER_MONTH = 30.44

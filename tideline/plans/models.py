@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 
 from tideline.operators import churn, explain, modelling, segmentation, value
 from tideline.plans import stages
-from tideline.plans.blocks import BLOCKS
-from tideline.plans.registry import query, when
+from tideline.plans.registry import query
 from tideline.session import shared_folder
 from tideline.sources import sinks
-
-COHORT = when("cohort_date")
+from tideline.sources.star_schema import read_table
 
 
 @query("feature_selection")
@@ -32,33 +30,24 @@ def feature_selection(spark, sf_dir):
 
 @query(
     "one_hot",
-    BLOCKS.sql(
-        f"""
-    SELECT customer_id, {COHORT}, country_grouped,
-           CASE WHEN country_grouped IN (SELECT country_grouped FROM p_panel
-                  WHERE cohort_date <= TIMESTAMP '2001-02-01' AND country_grouped <> 'Other')
-                THEN country_grouped ELSE 'none' END AS encoded
-    FROM p_panel""",
-        "p_panel",
-    ),
+    "SELECT c_custkey AS customer_id, n_name AS country, "
+    "CASE WHEN n_regionkey <> 0 THEN n_name ELSE 'none' END AS encoded "
+    "FROM customer JOIN nation ON c_nationkey = n_nationkey",
 )
 def one_hot(spark, sf_dir):
-    """Fitted without one category, which then has to come out as all zeros."""
-    panel = stages.panel(spark, sf_dir)
-    train = stages.split(spark, sf_dir, stages.COHORTS.train_cohorts)
-    fitted = Pipeline(stages=modelling.one_hot_stages(["country_grouped"])).fit(
-        train.filter(F.col("country_grouped") != "Other")
+    """Fitted without one region's countries, which then have to come out as all zeros."""
+    nation = read_table(spark, sf_dir, "nation")
+    customer = read_table(spark, sf_dir, "customer")
+    homes = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("customer_id"), F.col("n_name").alias("country"), "n_regionkey"
     )
-    labels = F.array(*[F.lit(x) for x in fitted.stages[0].labelsArray[0]])
-    place = F.array_position(vector_to_array("country_grouped_is"), 1.0)
-    return fitted.transform(panel).select(
-        "customer_id",
-        "cohort_date",
-        "country_grouped",
-        F.when(place > 0, F.try_element_at(labels, place.cast("int")))
-        .otherwise("none")
-        .alias("encoded"),
+    fitted = Pipeline(stages=modelling.one_hot_stages(["country"])).fit(
+        homes.filter("n_regionkey <> 0")
     )
+    labels = F.array(*[F.lit(x) for x in fitted.stages[0].labelsArray[0]])
+    place = F.array_position(vector_to_array("country_is"), 1.0)
+    encoded = F.when(place > 0, F.try_element_at(labels, place.cast("int"))).otherwise("none")
+    return fitted.transform(homes).select("customer_id", "country", encoded.alias("encoded"))
 
 
 def _classifier(name: str):

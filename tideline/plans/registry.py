@@ -25,8 +25,8 @@ def presentable(df: DataFrame) -> DataFrame:
             value = rounded(value)
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             value = value.cast("long")
-        elif isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType, T.DateType)):
-            value = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
+        elif isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType)):
+            value = F.substring(value.cast("string"), 1, 19)
         return value.alias(field.name)
 
     return df.select(*[shown(f) for f in df.schema.fields])
