@@ -233,3 +233,15 @@ def test_baseline(spark):
     assert report["observed_future_revenue_targeted"] == 5.0
     none = collected(baseline.baseline_report(scores, labels.filter("customer_id = 9")))[0]
     assert none["n_customers"] == 0 and none["precision"] == 0.0 and none["targeted_share"] == 0.0
+
+
+def test_split_in_another_time_zone(spark):
+    panel = spark.createDataFrame([(1, "2011-03-13"), (2, "2011-04-01")], "customer_id long, d string")
+    panel = panel.withColumn("cohort_date", F.col("d").cast("timestamp_ntz"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        chosen = collected(features.temporal_split(panel, ["2011-03-13"]))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [r["customer_id"] for r in chosen] == [1]

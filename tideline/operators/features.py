@@ -554,4 +554,4 @@ def cohort_panel(
 
 
 def temporal_split(panel: DataFrame, cohort_dates: Sequence[str]) -> DataFrame:
-    return panel.filter(F.col("cohort_date").isin([datetime.fromisoformat(d) for d in cohort_dates]))
+    return panel.filter(F.col("cohort_date").isin([as_timestamp(d) for d in cohort_dates]))
