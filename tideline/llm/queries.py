@@ -2,5 +2,16 @@
 
 from __future__ import annotations
 
-from tideline.llm import chat, exact_dedup  # noqa: F401
+from tideline.llm import (  # noqa: F401
+    chat,
+    exact_dedup,
+    knn_join,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    pages,
+    quality,
+    suffix_dedup,
+)
 from tideline.llm.registry import ORACLES, QUERIES  # noqa: F401
