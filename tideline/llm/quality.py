@@ -9,7 +9,7 @@ in that text as class prior. When the part in max() falls below zero, the step g
 its gradient, as the method has it, so that the scorer does not fit the positives by heart.
 
 What a text looks like is a vector of shares: of its bytes, of hashed pairs of neighbouring
-bytes, of the worst kind of its lines, and a few of its lengths. Whole texts are read. Labels,
+bytes, of signs and of repeated words, and a few of its lengths. Whole texts are read. Labels,
 language, source and id are never inputs. The model is fitted on the driver from a bounded
 sample (``SAMPLE_ROWS`` positives and as many unlabelled texts, of smallest hash); scoring is a
 map over the documents without a shuffle.
@@ -25,13 +25,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.ngram_join import word_hashes
 from tideline.llm.registry import named, query, table
 
 #: Bound of the positives, and of the unlabelled texts, that the model is fitted on.
 SAMPLE_ROWS = 8_000
 PAIRS = 256
-FEATURES = 256 + PAIRS + 6
-STEPS, RATE, DECAY = 600, 0.05, 1e-4
+EXTRA = 10
+FEATURES = 256 + PAIRS + EXTRA
+#: Bytes by which a text counts as longer, so that shares of short texts stay calm.
+CALM = 100
+STEPS, RATE, DECAY = 600, 0.05, 3e-3
 
 
 def describe(text: str | None) -> np.ndarray:
@@ -49,18 +53,26 @@ def describe(text: str | None) -> np.ndarray:
         counts += np.bincount(part[: 1 << 20], minlength=256)
         wide = part.astype(np.uint16)
         pairs += np.bincount((wide[:-1] * 151 + wide[1:] * 7) & (PAIRS - 1), minlength=PAIRS)
-    out[:256] = np.sqrt(counts / n)
-    out[256 : 256 + PAIRS] = np.sqrt(pairs / max(1, n - 1))
-    words = counts[[9, 10, 11, 12, 13, 32]].sum() + 1
+    out[:256] = np.sqrt(counts / (n + CALM))
+    out[256 : 256 + PAIRS] = np.sqrt(pairs / (n + CALM))
     signs = counts[33:48].sum() + counts[58:65].sum() + counts[91:97].sum() + counts[123:127].sum()
     letters = counts[65:91].sum() + counts[97:123].sum() + counts[128:].sum()
-    out[-6:] = (
+    words = word_hashes(data.tobytes())
+    number = len(words) + 10
+    again = (words[1:] == words[:-1]).sum()
+    apart = len(np.unique(words))
+    out[-EXTRA:] = (
         np.log1p(n) / 10,
-        np.log1p(words) / 10,
-        np.log1p(n / words) / 3,
-        signs / n,
-        counts[65:91].sum() / max(1.0, letters),
+        np.log1p(len(words)) / 10,
+        np.log1p(n / number) / 3,
+        signs / (n + CALM),
+        np.sqrt(signs / number),
+        counts[65:91].sum() / (letters + CALM),
         (counts > 0).sum() / 100,
+        # Words that repeat the one before, and words met before in the text.
+        np.sqrt(again / number),
+        (len(words) - apart) / number,
+        np.sqrt((counts[33] + counts[124] + counts[35] + counts[36] + counts[42]) / number),
     )
     return out
 
