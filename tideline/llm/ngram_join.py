@@ -189,7 +189,7 @@ def _bitmap(values: DataFrame, column: str) -> np.ndarray:
     bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
     words = values.select(
         F.shiftright(bit, 5).alias("word"),
-        F.shiftleft(F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int")).alias("bit"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int")).alias("bit"),
     )
     rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     out = np.zeros(FILTER_BITS // 32, dtype=np.int64)
