@@ -35,7 +35,7 @@ EXTRA = 10
 FEATURES = 256 + PAIRS + EXTRA
 #: Bytes by which a text counts as longer, so that shares of short texts stay calm.
 CALM = 100
-STEPS, RATE, DECAY = 600, 0.05, 3e-3
+STEPS, RATE, DECAY = 600, 0.05, 1e-2
 
 
 def describe(text: str | None) -> np.ndarray:
@@ -124,7 +124,9 @@ def fit_nnpu(
         grad = grad + decay * w
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
-        w = w - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+        # Smaller steps towards the end, so that turning back does not decide the result.
+        slow = rate * (1 - (t - 1) / steps)
+        w = w - slow * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     return Model(w[:-1], float(w[-1]), mean, scale, prior)
 
 
