@@ -24,8 +24,11 @@ def test_run(spark, tmp_path):
         expected=stages.EXPECTED,
         curation=replace(stages.CURATION, min_lines_per_country=200),
         temporal=stages.TEMPORAL,
-        segmentation=replace(stages.QUICK_SEGMENTS, k_range=(2, 3), kmeans_restarts=1),
-        churn=replace(stages.QUICK_CHURN, forest_trees=5, boosting_rounds=2),
+        segmentation=replace(stages.SEGMENTS, k_range=(2, 3), kmeans_restarts=1),
+        churn=replace(
+            stages.COHORTS, logistic_max_iter=100, forest_trees=5, forest_max_depth=6,
+            boosting_rounds=2, boosting_depth=4,
+        ),
         value=ValueParams(forest_trees=5, boosting_rounds=2, boosting_depth=2, forest_max_depth=3),
     )
     out = pipeline.run(raw_transactions(spark, SMALL), str(tmp_path / "run"), params)

@@ -202,15 +202,38 @@ def test_cox(lifetimes):
         assert row["exp_coef_lower_95"] < row["exp_coef"] < row["exp_coef_upper_95"]
 
 
-def test_tie_sums_agree():
-    exact = survival._tie_sums(survival.EXACT_TIES, 3000.0, 900.0)
-    d = survival.EXACT_TIES + 1
-    direct = np.arange(d) / d
-    r = 3000.0 - direct * 900.0
-    approximate = survival._tie_sums(d, 3000.0, 900.0)
-    assert approximate[0] == pytest.approx(np.log(r).sum(), rel=1e-9)
-    assert approximate[1] == pytest.approx((1 / r).sum(), rel=1e-9)
-    assert np.allclose(approximate, exact, rtol=1e-4)
+@pytest.mark.parametrize("d", [1, 2, 3, 7, 23, 24, 25, 100, 5_000, 1_000_000])
+@pytest.mark.parametrize("ratio", [1.0, 1.5, 40.0, 1e4, 1e7])
+def test_tie_sums_equal_the_plain_sums(d, ratio):
+    e0 = 0.3 * d
+    s0 = e0 * ratio
+    a = np.arange(d) / d
+    r = s0 - a * e0
+    found = survival._tie_sums(d, s0, e0)
+    plain = [np.log(r), 1 / r, a / r, 1 / r**2, a / r**2, a**2 / r**2]
+    # As they enter the derivatives: times the sums of the events, beside a whole of about d.
+    scale = [1.0, s0, e0, s0**2, s0 * e0, e0**2]
+    for value, terms, by in zip(found, plain, scale):
+        assert value * by == pytest.approx(math.fsum(terms) * by, rel=1e-9, abs=1e-9 * d)
+
+
+def test_counts_beyond_a_long(spark):
+    """Products of counts of some billions, as cells and pairs have them."""
+    many = 5_000_000_000
+    cells = spark.createDataFrame(
+        [("a", "x", many), ("a", "y", 2 * many), ("b", "x", 3 * many), ("b", "y", 4 * many)],
+        "r string, c string, _o long",
+    )
+    found = only(exploration._chi_square_of_cells(cells, "r", "c"))
+    n = 10 * many
+    plain = n * (
+        many**2 / (3 * many * 4 * many) + 4 / (3 * 6) + 9 / (7 * 4) + 16 / (7 * 6) - 1
+    )
+    assert found["n"] == n and found["chi2"] == pytest.approx(plain, rel=1e-6)
+    lives = spark.createDataFrame(
+        [(1, many, many, 0), (2, many, 0, 1)], "duration long, n long, events long, place long"
+    )
+    assert lives.agg(survival.pair_sum(F.col("n"), F.col("events"))).first()[0] == many * many
 
 
 def test_concordance(lifetimes):
@@ -225,7 +248,8 @@ def test_concordance(lifetimes):
             tied += a[2] == b[2]
     scored = df.withColumn("risk", F.round("x1", 1))
     got = only(survival.concordance(scored, "duration", "event", "risk"))
-    assert (got["concordant"], got["discordant"], got["tied_risk"]) == (good, bad, tied)
+    found = tuple(int(got[c]) for c in ("concordant", "discordant", "tied_risk"))
+    assert found == (good, bad, tied)
     assert got["concordance_index"] == pytest.approx((good + tied / 2) / (good + bad + tied))
     assert got["concordance_index"] > 0.5
 

@@ -215,19 +215,24 @@ def _fit(panel, estimator):
     return modelling.fit_pipeline(columns, df, estimator, scale=False)
 
 
-def _brute_force(leaves, row):
+def _brute_force(trees, row):
     """Shapley values over all coalitions, absent features averaged by cover."""
     size = len(row)
 
-    def payoff(present):
+    def below(tree, node, present):
+        if tree.left[node] < 0:
+            return tree.value[node]
         total = 0.0
-        for leaf in leaves:
-            weight = leaf.value
-            for i, above, upto, share in zip(leaf.features, leaf.above, leaf.upto, leaf.share):
-                weight *= float(above < row[i] <= upto) if i in present else share
-            total += weight
+        for child in (tree.left[node], tree.right[node]):
+            inside = tree.above[child] < row[tree.feature[node]] <= tree.upto[child]
+            weight = float(inside) if tree.feature[node] in present else tree.share[child]
+            if weight:
+                total += weight * below(tree, child, present)
         return total
 
+    def payoff(present):
+        return sum(below(tree, 0, present) for tree in trees)
+
     result = np.zeros(size)
     for j in range(size):
         others = [k for k in range(size) if k != j]
@@ -240,8 +245,8 @@ def _brute_force(leaves, row):
 
 def test_forest_contributions(panel):
     df, columns = panel
-    model = _fit(panel, RandomForestClassifier(labelCol="churn", numTrees=5, maxDepth=4, seed=3))
-    leaves = explain.tree_leaves(modelling.fitted_model(model))
+    model = _fit(panel, RandomForestClassifier(labelCol="churn", numTrees=5, maxDepth=6, seed=3))
+    leaves = explain.read_trees(modelling.fitted_model(model))
     rows = model.transform(df).select(
         vector_to_array("features").alias("x"), vector_to_array("probability")[1].alias("p"),
         "customer_id",
@@ -258,7 +263,7 @@ def test_forest_contributions(panel):
 def test_boosted_contributions(panel):
     df, _ = panel
     model = _fit(panel, GBTClassifier(labelCol="churn", maxIter=4, maxDepth=3, seed=3))
-    leaves = explain.tree_leaves(modelling.fitted_model(model))
+    leaves = explain.read_trees(modelling.fitted_model(model))
     margins = {
         r["customer_id"]: r["p"]
         for r in model.transform(df)

@@ -20,6 +20,7 @@ from tideline.functions.ordering import (
     spread_lookup,
 )
 from tideline.functions.scalars import clip, rounded, zero_if_undefined
+from tideline.session import materialise
 
 CALIBRATION_EDGES = [float(e) for e in np.linspace(0.0, 1.0, 11)[1:-1]]
 F1_THRESHOLDS = [float(t) for t in np.linspace(0.05, 0.95, 19)]
@@ -89,7 +90,8 @@ def rank_curve(scored: DataFrame, label: str, prob: str, by: Sequence[str] = ())
         sizes={"all_pos": "cum_pos", "all_neg": "cum_neg"},
     )
     pos, neg, above = F.col("pos"), F.col("neg"), F.col("cum_pos") - F.col("pos")
-    pairs = F.max("all_pos") * F.max("all_neg")
+    # As doubles: the product outgrows a long from some billions of rows on.
+    pairs = F.max("all_pos").cast("double") * F.max("all_neg")
     precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     return placed.groupBy(*by).agg(
         F.try_divide(F.sum(neg * (above + pos / 2.0)), pairs).alias("roc_auc"),
@@ -206,10 +208,8 @@ def spearman(
     """Correlation of average ranks; a value most rows share does not pile up in one task."""
     ranked = scored
     for side, column in (("_ra", actual), ("_rp", predicted)):
-        ranks = average_ranks(scored, column, by).select(
-            *by, column, F.col("average_rank").alias(side)
-        )
-        ranked = spread_lookup(ranked, ranks, [*by, column])
+        ranks = average_ranks(scored, column, by).withColumnRenamed("average_rank", side)
+        ranked = spread_lookup(ranked, materialise(ranks), [*by, column], "n")
     return ranked.groupBy(*by).agg(F.corr("_ra", "_rp").alias("spearman"))
 
 

@@ -158,11 +158,22 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFram
 
 
 def spread_lookup(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], copies: int = 16
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    count: str,
+    rows_per_slice: int = 1_000_000,
 ) -> DataFrame:
-    """Inner join where one key may hold most of ``left``; ``right`` has one row per key."""
-    salt = F.pmod(F.xxhash64(*left.columns), F.lit(copies)).cast("int")
-    replicated = right.withColumn(
-        "_salt", F.explode(F.array(*[F.lit(i) for i in range(copies)]))
-    )
-    return left.withColumn("_salt", salt).join(replicated, [*keys, "_salt"]).drop("_salt")
+    """Inner join with one row of ``right`` per key, where one key may hold most of ``left``.
+
+    ``right`` tells by ``count`` how many rows of ``left`` have the key. Only keys with more
+    than ``rows_per_slice`` are spread, over as many slices as that takes; there are no more
+    of them than rows of ``left`` divided by ``rows_per_slice``, which bounds the broadcast.
+    """
+    slices = F.ceil(F.col(count) / F.lit(rows_per_slice)).cast("int")
+    sliced = right.withColumn("_slices", slices).drop(count)
+    hot = sliced.filter("_slices > 1").select(*keys, "_slices")
+    salt = F.pmod(F.xxhash64(*left.columns), F.coalesce("_slices", F.lit(1))).cast("int")
+    salted = _join_carried(left, hot, keys).withColumn("_salt", salt).drop("_slices")
+    spread = sliced.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+    return salted.join(spread.drop("_slices"), [*keys, "_salt"]).drop("_salt")

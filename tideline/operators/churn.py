@@ -54,6 +54,9 @@ class ChurnResult:
     predictions: DataFrame
     importance: DataFrame
     report: DataFrame
+    # Every candidate, and the scores of the chosen one on validation and test rows.
+    models: dict[str, PipelineModel]
+    scores: DataFrame
 
 
 def churn_columns(panel: DataFrame, params: ChurnParams = ChurnParams()) -> FeatureColumns:
@@ -204,7 +207,8 @@ def train_churn(
         {"train": train, "validation": validation, "test": test},
     )
     return ChurnResult(
-        best, models[best], columns, use, threshold, metrics, predictions, importance, report
+        best, models[best], columns, use, threshold, metrics, predictions, importance, report,
+        models, both,
     )
 
 

@@ -74,8 +74,13 @@ def flag_outlier(df: DataFrame) -> DataFrame:
 
 
 def country_grouping(df: DataFrame, params: CurationParams = CurationParams()) -> DataFrame:
-    """Keep countries with enough lines; the rest, and no country, become one label."""
-    frequent = (
+    """Keep countries with enough lines; the rest, and no country, become one label.
+
+    The list of frequent countries is written, so its size is known when the join is planned
+    and the planner's own threshold decides on a broadcast: lines are not shuffled on a country
+    that most of them share.
+    """
+    frequent = materialise(
         df.filter(F.col("country").isNotNull())
         .groupBy(F.col("country").alias("_country"))
         .agg(F.count(F.lit(1)).alias("_lines"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -18,73 +17,82 @@ from pyspark.sql import functions as F
 from tideline.functions.scalars import rounded
 from tideline.operators.modelling import FeatureColumns, fitted_model, vector_names
 from tideline.params import ExplainParams
-from tideline.session import shared_folder
+from tideline.session import new_path
 
 SHAP = "shap"
-MODEL_ROWS_PER_BATCH = 4096
+INTERPRETATION_NOTE = (
+    "Contributions describe what moves the model's score; they are associations, not causes."
+)
+ROWS_PER_BLOCK = 4096
+#: Largest ensemble that is sent to the tasks, in nodes: 40 MB. Parameters set the size of a
+#: model, not the data; this is checked before it is broadcast.
+MOST_NODES = 1_000_000
 
 
 @dataclass(frozen=True)
-class Leaf:
-    """A leaf as one box: per feature on its path an interval and the share of training
-    rows that the splits on that feature let through."""
+class Tree:
+    """A fitted tree in flat arrays by node; the root is node 0.
 
-    value: float
-    features: np.ndarray
+    ``left`` and ``right`` are -1 at a leaf. ``feature`` is what a node splits on. ``above``,
+    ``upto`` and ``share`` belong to the edge into a node: the interval of the parent's feature
+    that leads there and the share of the parent's training rows.
+    """
+
+    left: np.ndarray
+    right: np.ndarray
+    feature: np.ndarray
     above: np.ndarray
     upto: np.ndarray
     share: np.ndarray
+    value: np.ndarray
 
 
-def _split_interval(split) -> tuple[int, tuple[float, float], tuple[float, float]]:
-    """Feature with the intervals (above, up to] of the left and the right child."""
+def _split_interval(split) -> tuple[tuple[float, float], tuple[float, float]]:
+    """The intervals (above, up to] of the left and the right child."""
     limits = list(split["leftCategoriesOrThreshold"])
-    low, high = (-np.inf, np.inf)
     if split["numCategories"] < 0:
-        return split["featureIndex"], (low, limits[0]), (limits[0], high)
+        return (-np.inf, limits[0]), (limits[0], np.inf)
     # One-hot entries are the only categories here: 0 or 1.
-    zero_left = limits == [0.0]
-    sides = ((low, 0.5), (0.5, high))
-    return split["featureIndex"], *(sides if zero_left else sides[::-1])
+    sides = ((-np.inf, 0.5), (0.5, np.inf))
+    return sides if limits == [0.0] else sides[::-1]
 
 
-def _leaves_of_tree(nodes: dict, value_of, cover_of) -> list[Leaf]:
-    found = []
-
-    def walk(number: int, box: dict[int, tuple[float, float, float]]) -> None:
-        node = nodes[number]
+def _tree(nodes: dict, value_of, cover_of) -> Tree:
+    size = max(nodes) + 1
+    left, right, feature = (np.full(size, -1, dtype=np.int32) for _ in range(3))
+    above, upto = np.full(size, -np.inf), np.full(size, np.inf)
+    share, value = np.ones(size), np.zeros(size)
+    for number, node in nodes.items():
         if node["leftChild"] < 0:
-            index = np.array(sorted(box), dtype=int)
-            parts = np.array([box[i] for i in index]).reshape(-1, 3)
-            found.append(Leaf(value_of(node), index, parts[:, 0], parts[:, 1], parts[:, 2]))
-            return
-        feature, left, right = _split_interval(node["split"])
-        for child, (above, upto) in ((node["leftChild"], left), (node["rightChild"], right)):
-            share = cover_of(nodes[child]) / cover_of(node)
-            a, u, s = box.get(feature, (-np.inf, np.inf, 1.0))
-            walk(child, {**box, feature: (max(a, above), min(u, upto), s * share)})
-
-    walk(0, {})
-    return found
+            value[number] = value_of(node)
+            continue
+        left[number], right[number] = node["leftChild"], node["rightChild"]
+        feature[number] = node["split"]["featureIndex"]
+        for child, (low, high) in zip((left[number], right[number]), _split_interval(node["split"])):
+            above[child], upto[child] = low, high
+            share[child] = cover_of(nodes[child]) / cover_of(node)
+    return Tree(left, right, feature, above, upto, share, value)
 
 
-def tree_leaves(model) -> list[Leaf]:
-    """Leaves of a fitted forest or boosted ensemble, read back from its saved form.
+def read_trees(model) -> list[Tree]:
+    """The trees of a fitted forest or boosted ensemble, read back from its saved form.
 
     Forest leaves hold the positive share, so contributions add up to the
     probability; boosted leaves add up to the margin.
     """
+    if model.totalNumNodes > MOST_NODES:
+        raise ValueError(f"an ensemble of {model.totalNumNodes} nodes is too large to explain")
     spark = SparkSession.active()
-    path = f"{shared_folder(spark)}/tideline/trees-{uuid.uuid4().hex}"
+    path = new_path(spark, "trees")
     model.write().overwrite().save(path)
     trees: dict[int, dict] = {}
-    # The size of a model is set by its parameters, not by the data.
+    # At most MOST_NODES rows.
     for row in spark.read.parquet(f"{path}/data").collect():
         trees.setdefault(row["treeID"], {})[row["nodeData"]["id"]] = row["nodeData"]
     weights = list(model.treeWeights)
     forest = type(model).__name__.startswith("RandomForest")
-    leaves = []
-    for number, nodes in trees.items():
+    found = []
+    for number in sorted(trees):
         if forest:
             def value_of(node):
                 stats = node["impurityStats"]
@@ -98,42 +106,76 @@ def tree_leaves(model) -> list[Leaf]:
 
             def cover_of(node):
                 return node["impurityStats"][0]
-        leaves += _leaves_of_tree(nodes, value_of, cover_of)
-    return leaves
+        found.append(_tree(trees[number], value_of, cover_of))
+    return found
+
 
+def _depth(tree: Tree, node: int = 0) -> int:
+    if tree.left[node] < 0:
+        return 0
+    return 1 + max(_depth(tree, tree.left[node]), _depth(tree, tree.right[node]))
 
-def leaf_contributions(leaf: Leaf, rows: np.ndarray, nodes: np.ndarray, weights: np.ndarray):
-    """Shapley values of one leaf for a block of rows.
+
+def tree_contributions(tree: Tree, rows: np.ndarray, result: np.ndarray) -> None:
+    """Add the Shapley values of one tree for a block of rows to ``result``.
 
     The Shapley weight of a coalition of s out of d - 1 others is the integral of
-    t^s (1 - t)^(d-1-s) over [0, 1]. Summed over coalitions this is the integral of a
-    product over the other features, a polynomial that Gauss-Legendre nodes
-    integrate exactly.
+    t^s (1 - t)^(d-1-s) over [0, 1]. Summed over coalitions, a leaf's part for a feature is the
+    integral of the product, over the other features of its path, of share (1 - t) + inside t:
+    a polynomial that Gauss-Legendre nodes integrate exactly. The product is carried down the
+    tree and the leaves' values times it are summed on the way up, so that a split costs the
+    same whatever the number of leaves below it. A feature that is split on again replaces its
+    factor; leaves below count for the last split only, which the subtraction sees to.
     """
-    values = rows[:, leaf.features]
-    inside = ((values > leaf.above) & (values <= leaf.upto)).astype(float)
-    factor = leaf.share[:, None] * (1.0 - nodes) + inside[:, :, None] * nodes
-    product = factor.prod(axis=1, keepdims=True)
-    return leaf.value * (inside - leaf.share) * ((product / factor) @ weights)
+    x, w = np.polynomial.legendre.leggauss(max(1, (_depth(tree) + 1) // 2))
+    t, w = (x + 1.0) / 2.0, w / 2.0
+    # By feature of the path: (inside - share, share, inside, factor).
+    path: dict[int, tuple] = {}
+
+    def below(node: int, product: np.ndarray) -> np.ndarray:
+        if tree.left[node] < 0:
+            return tree.value[node] * product
+        feature = int(tree.feature[node])
+        values, old = rows[:, feature], path.get(feature)
+        total = 0.0
+        for child in (int(tree.left[node]), int(tree.right[node])):
+            inside = (values > tree.above[child]) & (values <= tree.upto[child])
+            share = tree.share[child]
+            if old is not None:
+                inside, share = inside & old[2], share * old[1]
+            factor = np.where(inside[:, None], share * (1.0 - t) + t, share * (1.0 - t))
+            path[feature] = (inside - share, share, inside, factor)
+            here = below(child, product * (factor if old is None else factor / old[3]))
+            result[:, feature] += (inside - share) * ((here / factor) @ w)
+            if old is not None:
+                result[:, feature] -= old[0] * ((here / old[3]) @ w)
+            total = total + here
+        if old is None:
+            del path[feature]
+        else:
+            path[feature] = old
+        return total
+
+    below(0, np.ones((len(rows), len(t))))
 
 
-def forest_contributions(leaves: Sequence[Leaf], rows: np.ndarray) -> np.ndarray:
+def forest_contributions(trees: Sequence[Tree], rows: np.ndarray) -> np.ndarray:
     result = np.zeros_like(rows)
-    quadrature = {}
-    for leaf in leaves:
-        size = len(leaf.features)
-        if size == 0:
-            continue
-        points = (size + 1) // 2
-        if points not in quadrature:
-            x, w = np.polynomial.legendre.leggauss(points)
-            quadrature[points] = ((x + 1.0) / 2.0, w / 2.0)
-        result[:, leaf.features] += leaf_contributions(leaf, rows, *quadrature[points])
+    for tree in trees:
+        if tree.left[0] >= 0:
+            tree_contributions(tree, rows, result)
     return result
 
 
-def base_value(leaves: Sequence[Leaf]) -> float:
-    return float(sum(leaf.value * leaf.share.prod() for leaf in leaves))
+def base_value(trees: Sequence[Tree]) -> float:
+    """The mean score of the training rows."""
+
+    def mean(tree: Tree, node: int) -> float:
+        if tree.left[node] < 0:
+            return float(tree.value[node])
+        return sum(tree.share[c] * mean(tree, c) for c in (tree.left[node], tree.right[node]))
+
+    return float(sum(mean(tree, 0) for tree in trees))
 
 
 def _vectors(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -149,14 +191,14 @@ def tree_shap(
     predictor = fitted_model(model)
     if not hasattr(predictor, "treeWeights"):
         return _linear_shap(predictor, vectors, keep)
-    shared = df.sparkSession.sparkContext.broadcast(tree_leaves(predictor))
+    shared = df.sparkSession.sparkContext.broadcast(read_trees(predictor))
     plain = vectors.select(*keep, vector_to_array("features").alias("x"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema if f.name in keep)
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), MODEL_ROWS_PER_BATCH):
-                part = batch.iloc[start : start + MODEL_ROWS_PER_BATCH]
+            for start in range(0, len(batch), ROWS_PER_BLOCK):
+                part = batch.iloc[start : start + ROWS_PER_BLOCK]
                 rows = np.stack(part["x"].to_numpy())
                 shap = forest_contributions(shared.value, rows)
                 yield part[list(keep)].assign(**{SHAP: list(shap)})
@@ -206,6 +248,13 @@ def customer_top_factors(
     )
 
 
+def long_contributions(
+    shap: DataFrame, names: Sequence[str], keep: Sequence[str] = ("customer_id", "cohort_date")
+) -> DataFrame:
+    """Every contribution: one row per customer and feature."""
+    return _long(shap, names, keep)
+
+
 def _long(shap: DataFrame, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
     return shap.select(*keep, F.explode(_named(names)).alias("_e")).select(*keep, "_e.*")
 
@@ -292,4 +341,5 @@ def explain_report(found: Explanation, model_name: str) -> DataFrame:
         F.lit(len(found.names)).alias("n_features"),
         rows_of(top, ["rank"]).alias("top_global_features"),
         rows_of(parts, ["segment_name", "rank"]).alias("segment_risk_factors"),
+        F.lit(INTERPRETATION_NOTE).alias("interpretation_note"),
     )

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tideline.functions.ordering import quantiles, running_totals
 from tideline.functions.scalars import count_if, elapsed_days, money_sum, month_text
 from tideline.operators.value import largest_share
+from tideline.session import materialise
 
 PERCENTILES = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
@@ -29,12 +30,15 @@ def with_helper_columns(raw: DataFrame) -> DataFrame:
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """(column, type, distinct, missing, percent missing) from one aggregate."""
+    """(column, type, distinct, missing, percent missing).
+
+    Each column's distinct values are counted by an aggregate of their own, which reads and
+    shuffles that column only; in one aggregate every row would be copied once per column.
+    """
     counts = df.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count_distinct(c).alias(f"d_{c}") for c in df.columns],
         *[F.count(c).alias(f"n_{c}") for c in df.columns],
-    )
+    ).withColumns({f"d_{c}": df.agg(F.count_distinct(c)).scalar() for c in df.columns})
     entries = [
         F.struct(
             F.lit(f.name).alias("column"),
@@ -71,11 +75,18 @@ def chi_square_tail(statistic: float, dof: int) -> float:
 
 def chi_square_assoc(df: DataFrame, row: str, column: str) -> DataFrame:
     """Pearson chi-square of two columns with Cramer's V; rows without a value are left out."""
-    cells = (
+    # One row per pair of values, read several times below. Counts as doubles: products of
+    # counts outgrow a long.
+    cells = materialise(
         df.filter(F.col(row).isNotNull() & F.col(column).isNotNull())
         .groupBy(row, column)
         .agg(F.count(F.lit(1)).alias("_o"))
     )
+    return _chi_square_of_cells(cells, row, column)
+
+
+def _chi_square_of_cells(cells: DataFrame, row: str, column: str) -> DataFrame:
+    cells = cells.withColumn("_o", F.col("_o").cast("double"))
     by_row = cells.groupBy(row).agg(F.sum("_o").alias("_r"))
     by_column = cells.groupBy(column).agg(F.sum("_o").alias("_c"))
     # sum of (o - e)^2 / e = n (sum of o^2 / (r c) - 1); empty cells add nothing to it.
@@ -83,7 +94,7 @@ def chi_square_assoc(df: DataFrame, row: str, column: str) -> DataFrame:
         cells.join(by_row, row)
         .join(by_column, column)
         .agg(
-            F.sum("_o").alias("n"),
+            F.sum("_o").cast("long").alias("n"),
             F.sum(F.col("_o") * F.col("_o") / (F.col("_r") * F.col("_c"))).alias("s"),
         )
     )
@@ -110,7 +121,12 @@ def chi_square_assoc(df: DataFrame, row: str, column: str) -> DataFrame:
     )
     found = facts.head()
     tail = chi_square_tail(found["chi2"] or 0.0, int(found["dof"] or 0))
-    return facts.withColumn("p_value", F.lit(tail))
+    return _fixed(facts, found).withColumn("p_value", F.lit(tail))
+
+
+def _fixed(df: DataFrame, row: Row) -> DataFrame:
+    """The one row of ``df`` that is known already, without running ``df`` again."""
+    return df.sparkSession.createDataFrame([row], df.schema)
 
 
 def mann_whitney(df: DataFrame, value: str, first: Column) -> DataFrame:
@@ -145,9 +161,10 @@ def mann_whitney(df: DataFrame, value: str, first: Column) -> DataFrame:
     ).withColumn(
         "z", (F.abs(F.col("u_statistic") - n1 * n2 / 2) - 0.5) / F.nullif("sigma", F.lit(0.0))
     )
-    z = facts.select("z").head()["z"]
+    found = facts.head()
+    z = found["z"]
     tail = 1.0 if z is None else min(1.0, math.erfc(z / math.sqrt(2)))
-    return facts.drop("sigma").withColumn("p_value", F.lit(tail))
+    return _fixed(facts, found).drop("sigma").withColumn("p_value", F.lit(tail))
 
 
 def group_behaviour(lines: DataFrame, group: str = "missing_customer") -> DataFrame:

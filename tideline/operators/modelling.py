@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
-    Imputer,
     OneHotEncoder,
     SQLTransformer,
     StandardScaler,
@@ -20,9 +19,6 @@ from pyspark.sql import types as T
 
 from tideline.functions.ordering import quantiles
 
-# Rank error of the medians the pipelines impute; impute_median is exact.
-IMPUTER_ERROR = 1e-4
-
 
 @dataclass(frozen=True)
 class FeatureColumns:
@@ -138,14 +134,12 @@ def preprocessing(
     filled = [f"{c}_filled" for c in columns.numeric]
     modes = {c: most_frequent(fit_on, c) for c in columns.categorical}
     known = [f"{c}_known" for c in columns.categorical]
-    stages: list = [
-        Imputer(
-            strategy="median",
-            inputCols=list(columns.numeric),
-            outputCols=filled,
-            relativeError=IMPUTER_ERROR,
-        )
-    ]
+    middle = {r["feature"]: r["median"] for r in medians(fit_on, columns.numeric).collect()}
+    numbers_in = ", ".join(
+        f"coalesce(nanvl(CAST({c} AS DOUBLE), NULL), CAST('{middle.get(c) or 0.0!r}' AS DOUBLE)) AS {c}_filled"
+        for c in columns.numeric
+    )
+    stages: list = [SQLTransformer(statement=f"SELECT *, {numbers_in} FROM __THIS__")]
     if known:
         texts = {c: (modes[c] or "").replace("'", "\\'") for c in columns.categorical}
         extra = ", ".join(f"coalesce({c}, '{texts[c]}') AS {c}_known" for c in columns.categorical)

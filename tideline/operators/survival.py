@@ -23,8 +23,6 @@ from tideline.params import SurvivalParams
 from tideline.session import materialise
 
 OVERALL = "Overall"
-# Above this many events on one day the tie sums use an integral formula.
-EXACT_TIES = 100_000
 NORMAL_95 = 1.959963984540054
 
 
@@ -147,22 +145,54 @@ def _per_duration(data: DataFrame, z: list[Column], beta: np.ndarray) -> np.ndar
     return rows.drop(columns="duration").to_numpy()
 
 
+# From here on the asymptotic series below are exact to double precision.
+_SERIES_FROM = 24.0
+
+
+def _series(z: float) -> tuple[float, float, float]:
+    """The asymptotic series of lgamma, digamma and trigamma at z after their leading terms
+    (z - 1/2) ln z - z, ln z - 1 / 2z and 1 / z + 1 / 2z^2, without constants."""
+    u = 1.0 / (z * z)
+    gamma = (1 / 12 - u * (1 / 360 - u * (1 / 1260 - u / 1680))) / z
+    psi = -u * (1 / 12 - u * (1 / 120 - u * (1 / 252 - u / 240)))
+    tri = u * (1 / 6 - u * (1 / 30 - u * (1 / 42 - u / 30))) / z
+    return gamma, psi, tri
+
+
+def _run_sums(low: float, d: int) -> tuple[float, float, float]:
+    """Sums of ln(y), 1 / y and 1 / y^2 over y = low, low + 1, ..., low + d - 1 (low >= 1).
+
+    They are differences of lgamma, digamma and trigamma at both ends, taken together so that
+    nothing large cancels. The few smallest terms are summed as they are.
+    """
+    few = min(d, max(0, math.ceil(_SERIES_FROM - low)))
+    first = low + np.arange(few)
+    sums = np.array([np.log(first).sum(), (1 / first).sum(), (1 / first**2).sum()])
+    low, d = low + few, d - few
+    if d:
+        high = low + d
+        (g1, p1, t1), (g0, p0, t0) = _series(high), _series(low)
+        ratio, fall = math.log1p(d / low), d / low / high
+        sums += (
+            (low - 0.5) * ratio + d * math.log(high) - d + g1 - g0,
+            ratio + 0.5 * fall + p1 - p0,
+            fall + 0.5 * fall * (1 / low + 1 / high) + t0 - t1,
+        )
+    return tuple(sums)
+
+
 def _tie_sums(d: int, s0: float, e0: float) -> np.ndarray:
     """Sums over the d tied events, fraction a = l / d already removed: of ln(r), 1/r, a/r,
-    1/r^2, a/r^2 and a^2/r^2 with r = s0 - a e0."""
-
-    def terms(a):
-        r = s0 - a * e0
-        return np.stack([np.log(r), 1 / r, a / r, 1 / r**2, a / r**2, a**2 / r**2])
+    1/r^2, a/r^2 and a^2/r^2 with r = s0 - a e0.
 
-    if d <= EXACT_TIES:
-        return terms(np.arange(d) / d).sum(axis=1)
-    # Simpson's rule on [0, 1] with the end correction for a sum from 0 to d - 1.
-    values = terms(np.linspace(0.0, 1.0, 2001))
-    weights = np.ones(2001)
-    weights[1:-1:2], weights[2:-1:2] = 4.0, 2.0
-    integral = (values * weights).sum(axis=1) / 6000.0
-    return d * integral + (values[:, 0] - values[:, -1]) / 2.0
+    With c = e0 / d the risks r are c times a run of numbers with step 1 that ends at s0 / c.
+    """
+    c = e0 / d
+    logs, ones, squares = _run_sums(max(1.0, s0 / c - d + 1), d)
+    r1, r2 = ones / c, squares / (c * c)
+    a1 = (s0 * r1 - d) / e0
+    a2 = (s0 * r2 - r1) / e0
+    return np.array([d * math.log(c) + logs, r1, a1, r2, a2, (s0 * a2 - a1) / e0])
 
 
 def _unpack(upper: np.ndarray, size: int) -> np.ndarray:
@@ -251,6 +281,11 @@ def cox_ph(data: DataFrame, params: SurvivalParams = SurvivalParams()) -> CoxFit
     )
 
 
+def pair_sum(one: Column, other: Column) -> Column:
+    """Sum of products of counts; pairs outgrow a long from some billions of customers on."""
+    return F.sum((one.cast("decimal(19,0)") * other.cast("decimal(19,0)")).cast("decimal(38,0)"))
+
+
 def concordance(
     data: DataFrame, duration: str, event: str, risk: str
 ) -> DataFrame:
@@ -291,18 +326,16 @@ def concordance(
         return after + F.col(f"{side}_n") - F.col(f"{side}_events")
 
     parted = sides.withColumns(
-        {
-            "good": F.col("upper_events") * outlives("lower"),
-            "bad": F.col("lower_events") * outlives("upper"),
-        }
-    ).agg(F.sum("good").alias("concordant"), F.sum("bad").alias("discordant"))
+        {"lower_left": outlives("lower"), "upper_left": outlives("upper")}
+    ).agg(
+        pair_sum(F.col("upper_events"), F.col("lower_left")).alias("concordant"),
+        pair_sum(F.col("lower_events"), F.col("upper_left")).alias("discordant"),
+    )
     same = W.partitionBy("place").orderBy(duration).rowsBetween(1, W.unboundedFollowing)
     equal = numbered.withColumn(
-        "pairs",
-        F.col("events")
-        * (F.coalesce(F.sum("n").over(same), F.lit(0)) + F.col("n") - F.col("events")),
-    ).agg(F.sum("pairs").alias("tied"))
-    good, bad, tied = F.col("concordant"), F.col("discordant"), F.col("tied_risk")
+        "left", F.coalesce(F.sum("n").over(same), F.lit(0)) + F.col("n") - F.col("events")
+    ).agg(pair_sum(F.col("events"), F.col("left")).alias("tied"))
+    good, bad, tied = (F.col(c).cast("double") for c in ("concordant", "discordant", "tied_risk"))
     return parted.withColumn("tied_risk", equal.scalar()).withColumn(
         "concordance_index", F.try_divide(good + tied / 2.0, (good + bad + tied).cast("double"))
     )

@@ -46,6 +46,8 @@ class ValueResult:
     predictions: DataFrame
     importance: DataFrame
     report: DataFrame
+    # Every candidate.
+    models: dict[str, PipelineModel]
 
 
 def value_columns(panel: DataFrame, params: ValueParams = ValueParams()) -> FeatureColumns:
@@ -159,7 +161,9 @@ def train_value(
     )
     importance = feature_importance(columns, models[best], best)
     report = _report(params, best, metrics, importance, train, validation, test)
-    return ValueResult(best, models[best], columns, metrics, predictions, importance, report)
+    return ValueResult(
+        best, models[best], columns, metrics, predictions, importance, report, models
+    )
 
 
 def _report(params, best, metrics, importance, train, validation, test) -> DataFrame:

@@ -1,5 +1,13 @@
 """End-to-end plans and the registered queries."""
 
-from tideline.plans import customers, eda, lines, models, scores, targeting  # noqa: F401
+from tideline.plans import (  # noqa: F401
+    customers,
+    eda,
+    lines,
+    models,
+    properties,
+    scores,
+    targeting,
+)
 from tideline.plans.registry import ORACLES as ALL_ORACLES  # noqa: F401
 from tideline.plans.registry import QUERIES as ALL_QUERIES  # noqa: F401

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tideline.operators import cleaning, curation, quality
@@ -11,7 +9,7 @@ from tideline.plans import stages
 from tideline.plans.blocks import BLOCKS, quoted
 from tideline.plans.registry import query, r4, when
 from tideline.params import NON_PRODUCT_CODES, RESIDUAL_ADMIN_CODES, STOCK_CODE_PATTERN
-from tideline.session import shared_folder
+from tideline.session import new_path
 from tideline.sources import loaders, sinks, star_schema
 
 RAW_SHOWN = (
@@ -24,7 +22,7 @@ KEYS_SQL = ", ".join(LINE_KEYS)
 
 
 def _path(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/tideline/{name}-{uuid.uuid4().hex}"
+    return new_path(spark, name)
 
 
 def _text_lines(spark, sf_dir):

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tideline.operators import churn, explain, modelling, segmentation, value
 from tideline.plans import stages
+from tideline.plans.blocks import BLOCKS
 from tideline.plans.registry import query
-from tideline.session import shared_folder
+from tideline.session import new_path
 from tideline.sources import sinks
 from tideline.sources.star_schema import read_table
 
+TEST_COHORT = f"TIMESTAMP '{stages.COHORTS.test_cohorts[0]}'"
+
 
 @query("feature_selection")
 def feature_selection(spark, sf_dir):
@@ -52,10 +53,9 @@ def one_hot(spark, sf_dir):
 
 def _classifier(name: str):
     def build(spark, sf_dir):
-        train, _, test = stages.three_splits(spark, sf_dir)
-        columns = churn.churn_columns(train, stages.QUICK_CHURN)
-        model = churn.fit_classifier(name, train, columns, stages.QUICK_CHURN)
-        return churn.score(model, test, stages.QUICK_CHURN)
+        model = stages.churn_result(spark, sf_dir).models[name]
+        test = stages.split(spark, sf_dir, stages.COHORTS.test_cohorts)
+        return churn.score(model, test, stages.COHORTS)
 
     return build
 
@@ -67,10 +67,9 @@ query("gbt_clf")(_classifier("gradient_boosting"))
 
 def _regressor(name: str):
     def build(spark, sf_dir):
-        train, _, test = stages.three_splits(spark, sf_dir)
-        columns = value.value_columns(train, stages.QUICK_VALUE)
-        model = value.fit_regressor(name, train, columns, stages.QUICK_VALUE)
-        return value.clv_predictions(model, test, stages.QUICK_VALUE)
+        model = stages.value_result(spark, sf_dir).models[name]
+        test = stages.split(spark, sf_dir, stages.COHORTS.test_cohorts)
+        return value.clv_predictions(model, test, stages.VALUE)
 
     return build
 
@@ -112,11 +111,11 @@ def churn_metrics_report(spark, sf_dir):
 def model_store(spark, sf_dir):
     """Probabilities of the model after saving and loading it, beside those before."""
     result = stages.churn_result(spark, sf_dir)
-    path = f"{shared_folder(spark)}/tideline/churn-model-{uuid.uuid4().hex}"
+    path = new_path(spark, "churn-model")
     sinks.save_model(result.model, path)
     test = stages.split(spark, sf_dir, stages.COHORTS.test_cohorts)
-    loaded = churn.score(sinks.load_model(path), test, stages.QUICK_CHURN, "after")
-    before = churn.score(result.model, test, stages.QUICK_CHURN, "before")
+    loaded = churn.score(sinks.load_model(path), test, stages.COHORTS, "after")
+    before = churn.score(result.model, test, stages.COHORTS, "before")
     return before.join(loaded.drop("y_true"), ["customer_id", "cohort_date"])
 
 
@@ -144,11 +143,32 @@ def clv_metrics_report(spark, sf_dir):
 @query("modelled_value_and_risk")
 def modelled_value_and_risk(spark, sf_dir):
     """Value and risk from both fitted models."""
-    return value.value_and_risk(
-        stages.split(spark, sf_dir, stages.COHORTS.test_cohorts),
-        stages.value_result(spark, sf_dir).predictions,
-        stages.churn_result(spark, sf_dir).predictions,
-    )
+    return stages.modelled_risk(spark, sf_dir)
+
+
+@query("modelled_recommendations")
+def modelled_recommendations(spark, sf_dir):
+    """One row per test customer: rank by modelled risk, real contributions, action."""
+    return stages.modelled_recommendations(spark, sf_dir)
+
+
+@query(
+    "modelled_chain_agrees",
+    BLOCKS.sql(
+        f"""SELECT count(*) AS n_customers, count(*) AS last_rank, TRUE AS same_risk
+        FROM p_panel WHERE cohort_date = {TEST_COHORT}""",
+        "p_panel",
+    ),
+)
+def modelled_chain_agrees(spark, sf_dir):
+    """Customers and last rank of the modelled chain, and whether its risk is that of the models."""
+    advice = stages.modelled_recommendations(spark, sf_dir)
+    risk = stages.modelled_risk(spark, sf_dir).agg(F.sum("revenue_at_risk")).scalar()
+    return advice.agg(
+        F.count_distinct("customer_id").alias("n_customers"),
+        F.max("priority_rank").alias("last_rank"),
+        F.sum("revenue_at_risk").alias("_risk"),
+    ).select("n_customers", "last_rank", (F.abs(F.col("_risk") - risk) < 0.01).alias("same_risk"))
 
 
 def _vectors(spark, sf_dir):
@@ -159,21 +179,19 @@ def _vectors(spark, sf_dir):
 def _clusters(name: str):
     def build(spark, sf_dir):
         vectors = _vectors(spark, sf_dir)
-        model = segmentation.FITTERS[name](vectors, 3, stages.QUICK_SEGMENTS)
+        model = segmentation.FITTERS[name](vectors, 3, stages.SEGMENTS)
         return segmentation.assign(model, vectors).drop("features")
 
     return build
 
 
-query("kmeans")(_clusters("kmeans"))
-query("gmm")(_clusters("gmm"))
-query("hierarchical")(_clusters("hierarchical"))
+CLUSTERINGS = {name: query(name)(_clusters(name)) for name in ("kmeans", "gmm", "hierarchical")}
 
 
 @query("silhouette")
 def silhouette(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
-    model = segmentation.fit_kmeans(vectors, 3, stages.QUICK_SEGMENTS)
+    model = segmentation.fit_kmeans(vectors, 3, stages.SEGMENTS)
     score = segmentation.silhouette(segmentation.assign(model, vectors))
     return vectors.agg(
         F.count(F.lit(1)).alias("n_customers"), F.lit(float(score)).alias("silhouette")
@@ -208,14 +226,47 @@ def segmentation_report(spark, sf_dir):
     return sinks.as_json(segmentation.segmentation_report(result, stages.materialise(data)))
 
 
+def _forest(spark, sf_dir):
+    """The fitted forest, the names of its features and its contributions to the test rows."""
+    result = stages.churn_result(spark, sf_dir)
+    model = result.models["random_forest"]
+    test = stages.split(spark, sf_dir, stages.COHORTS.test_cohorts)
+    return model, modelling.vector_names(result.columns, model), explain.tree_shap(model, test)
+
+
 @query("tree_shap")
 def tree_shap(spark, sf_dir):
-    """Contributions of the forest in long form."""
-    train, _, test = stages.three_splits(spark, sf_dir)
-    columns = churn.churn_columns(train, stages.QUICK_CHURN)
-    model = churn.fit_classifier("random_forest", train, columns, stages.QUICK_CHURN)
-    names = modelling.vector_names(columns, model)
-    return explain.customer_top_factors(explain.tree_shap(model, test), names)
+    """Every contribution of the forest: one row per customer and feature."""
+    _, names, shap = _forest(spark, sf_dir)
+    return explain.long_contributions(shap, names)
+
+
+@query(
+    "tree_shap_adds_up",
+    BLOCKS.sql(
+        f"SELECT customer_id, TRUE AS adds_up FROM p_panel WHERE cohort_date = {TEST_COHORT}",
+        "p_panel",
+    ),
+)
+def tree_shap_adds_up(spark, sf_dir):
+    """Whether base plus contributions is the forest's probability, for each customer."""
+    model, _, shap = _forest(spark, sf_dir)
+    base = explain.base_value(explain.read_trees(modelling.fitted_model(model)))
+    test = stages.split(spark, sf_dir, stages.COHORTS.test_cohorts)
+    total = F.aggregate("shap", F.lit(base), lambda s, x: s + x)
+    return (
+        shap.withColumn("total", total)
+        .join(churn.score(model, test, stages.COHORTS, "p"), ["customer_id", "cohort_date"])
+        .select("customer_id", (F.abs(F.col("total") - F.col("p")) < 1e-9).alias("adds_up"))
+    )
+
+
+@query("calibrate_sigmoid")
+def calibrate_sigmoid(spark, sf_dir):
+    """The chosen model's test scores calibrated by a fitted sigmoid."""
+    scores = stages.churn_result(spark, sf_dir).scores.drop(churn.CALIBRATED)
+    apply = churn.calibrator(scores.filter("split = 'validation'"), "sigmoid")
+    return apply(scores.filter("split = 'test'")).select("customer_id", churn.RAW, churn.CALIBRATED)
 
 
 @query("explain_report")

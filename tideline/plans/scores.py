@@ -505,7 +505,10 @@ def median_survival(spark, sf_dir):
 )
 def concordance(spark, sf_dir):
     data = stages.survival_data(spark, sf_dir).withColumn("risk", -F.col("n_orders"))
-    return survival.concordance(data, "duration", "event", "risk")
+    found = survival.concordance(data, "duration", "event", "risk")
+    return found.withColumns(
+        {c: F.col(c).cast("long") for c in ("concordant", "discordant", "tied_risk")}
+    )
 
 
 @query("cox_ph")

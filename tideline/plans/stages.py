@@ -260,19 +260,8 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Small ensembles: the registered queries show the models, they do not tune them.
-QUICK_CHURN = replace(
-    COHORTS,
-    logistic_max_iter=100,
-    forest_trees=20,
-    forest_max_depth=6,
-    boosting_rounds=8,
-    boosting_depth=4,
-)
-QUICK_VALUE = ValueParams(
-    forest_trees=10, forest_max_depth=5, boosting_rounds=8, boosting_depth=4
-)
-QUICK_SEGMENTS = SegmentationParams(k_range=(2, 3, 4), kmeans_restarts=2)
+VALUE = ValueParams()
+SEGMENTS = SegmentationParams()
 
 
 def _fit_once(spark: SparkSession, sf_dir: str, name: str, fit: Callable[[], object]):
@@ -290,13 +279,13 @@ def three_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 def churn_result(spark: SparkSession, sf_dir: str) -> ChurnResult:
     return _fit_once(
-        spark, sf_dir, "churn", lambda: train_churn(*three_splits(spark, sf_dir), QUICK_CHURN)
+        spark, sf_dir, "churn", lambda: train_churn(*three_splits(spark, sf_dir), COHORTS)
     )
 
 
 def value_result(spark: SparkSession, sf_dir: str) -> ValueResult:
     return _fit_once(
-        spark, sf_dir, "value", lambda: train_value(*three_splits(spark, sf_dir), QUICK_VALUE)
+        spark, sf_dir, "value", lambda: train_value(*three_splits(spark, sf_dir), VALUE)
     )
 
 
@@ -305,7 +294,7 @@ def segment_result(spark: SparkSession, sf_dir: str) -> SegmentResult:
         spark,
         sf_dir,
         "segments",
-        lambda: segment_customers(features(spark, sf_dir), QUICK_SEGMENTS),
+        lambda: segment_customers(features(spark, sf_dir), SEGMENTS),
     )
 
 
@@ -313,3 +302,34 @@ def explanation(spark: SparkSession, sf_dir: str) -> Explanation:
     result = churn_result(spark, sf_dir)
     test = split(spark, sf_dir, COHORTS.test_cohorts)
     return explain(result.model, result.columns, test, segment_result(spark, sf_dir).segments)
+
+
+def modelled_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Value and risk from both fitted models."""
+    return stage_table(
+        spark,
+        sf_dir,
+        "modelled_value_risk",
+        lambda: value_and_risk(
+            split(spark, sf_dir, COHORTS.test_cohorts),
+            value_result(spark, sf_dir).predictions,
+            churn_result(spark, sf_dir).predictions,
+        ),
+    )
+
+
+def modelled_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain behind the flagship on fitted models: risk, priorities, contributions of the
+    chosen churn model, actions."""
+    ranked = retention_priorities(
+        modelled_risk(spark, sf_dir),
+        split(spark, sf_dir, COHORTS.test_cohorts),
+        segment_result(spark, sf_dir).segments,
+        PRIORITY,
+    )
+    return stage_table(
+        spark,
+        sf_dir,
+        "modelled_recommendations",
+        lambda: recommendation_table(materialise(ranked), explanation(spark, sf_dir).factors),
+    )

@@ -7,11 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scratch: dict[str, str] = {}
+SETTING = "spark.checkpoint.dir"
+# By application: the folder named for it where the setting is unset, and what was written.
+_folders: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
-def local_session(cores: int | str = 8, app_name: str = "tideline") -> SparkSession:
-    """A session for tests and the bench on one machine."""
+def local_session(
+    cores: int | str = 8, app_name: str = "tideline", folder: str | None = None
+) -> SparkSession:
+    """A session for tests and the bench on one machine, with a folder for written tables."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
@@ -20,26 +25,44 @@ def local_session(cores: int | str = 8, app_name: str = "tideline") -> SparkSess
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(SETTING, folder or tempfile.mkdtemp(prefix="tideline-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that every executor can reach, from ``spark.checkpoint.dir``.
+def name_folder(spark: SparkSession, folder: str) -> None:
+    """Use ``folder`` where the session has no setting; every executor must reach it."""
+    _folders[spark.sparkContext.applicationId] = folder
+
 
-    Only a local master may go without the setting; it then gets a scratch folder.
+def ready(spark: SparkSession) -> SparkSession:
+    """For entry points: a session of one machine that names no folder gets one of its own.
+
+    A cluster's session is left as it is, and fails at its first written table if no folder is
+    named: a temporary folder of one machine is not seen by the others.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _scratch:
-        _scratch[app] = tempfile.mkdtemp(prefix="tideline-")
-    return _scratch[app]
+    app = spark.sparkContext
+    local = app.master == "local" or app.master.startswith("local[")
+    if local and app.applicationId not in _folders and not spark.conf.get(SETTING, None):
+        name_folder(spark, tempfile.mkdtemp(prefix="tideline-"))
+    return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that every executor can reach: ``spark.checkpoint.dir``, or what was named."""
+    folder = spark.conf.get(SETTING, None) or _folders.get(spark.sparkContext.applicationId)
+    if not folder:
+        raise RuntimeError(f"set {SETTING} to a folder all executors share")
+    return folder.rstrip("/")
+
+
+def new_path(spark: SparkSession, kind: str = "table") -> str:
+    """A path below the shared folder that nothing uses yet; ``release`` removes it."""
+    path = f"{shared_folder(spark)}/tideline/{kind}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -49,6 +72,19 @@ def materialise(df: DataFrame) -> DataFrame:
     and survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tideline/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove what this application wrote below the shared folder; returns the number of paths.
+
+    Frames that read these tables cannot be used afterwards: write results first, and forget
+    stages that are held (``plans.stages.forget_stages``).
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
