@@ -5,8 +5,10 @@ from __future__ import annotations
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from tideline.operators import features
+from tideline.operators import curation, features
+from tideline.params import CurationParams
 from tideline.plans import ALL_QUERIES, stages
 from tideline.sources.star_schema import read_table
 
@@ -41,3 +43,13 @@ def test_no_cross_joins_or_row_python(spark, name):
     plan = plan_of(ALL_QUERIES[name](spark, SMALL))
     for operator in ("CartesianProduct", "NestedLoop", "BatchEvalPython", "ArrowEvalPython"):
         assert operator not in plan
+
+
+def test_lines_are_not_shuffled_on_country(spark):
+    """Lines above the broadcast threshold meet the written list of countries in place."""
+    lines = spark.range(3_000_000).select(
+        F.when(F.col("id") % 3 > 0, "United Kingdom").otherwise(F.concat(F.lit("c"), F.col("id") % 9)).alias("country")
+    )
+    plan = plan_of(curation.country_grouping(lines, CurationParams(min_lines_per_country=10)))
+    assert "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan and "hashpartitioning(country" not in plan

@@ -33,8 +33,8 @@ def _issues(*candidates: Column) -> Column:
 
 
 def _dated(kind: str, found: Column, bound: Column) -> Column:
-    before, between = ISSUE_TEXTS[kind]
-    return F.concat(F.lit(before), found.cast("date"), F.lit(between), bound.cast("date"))
+    dates = (found.cast("date").cast("string"), bound.cast("date").cast("string"))
+    return F.format_string(ISSUE_TEXTS[kind], *dates)
 
 
 def _has_error(issues: Column) -> Column:
@@ -46,6 +46,21 @@ def _known(df: DataFrame, name: str, aggregate) -> Column:
     return aggregate(F.col(name)) if name in df.columns else F.lit(None).cast("double")
 
 
+DISTINCT = {
+    "n_customers": "customer_id",
+    "n_invoices": "invoice_no",
+    "n_products": "stock_code",
+    "n_countries": "country",
+}
+
+
+def _distinct(df: DataFrame, name: str) -> Column:
+    """Distinct values of a column that may be absent, by an aggregate of its own."""
+    if name not in df.columns:
+        return F.lit(None).cast("long")
+    return df.agg(F.count_distinct(name)).scalar()
+
+
 def dq_report(
     transactions: DataFrame, expected: QualityExpectations = QualityExpectations()
 ) -> DataFrame:
@@ -54,10 +69,6 @@ def dq_report(
     absent = [c for c in REQUIRED_COLUMNS if c not in df.columns]
     facts = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        _known(df, "customer_id", F.count_distinct).cast("long").alias("n_customers"),
-        _known(df, "invoice_no", F.count_distinct).cast("long").alias("n_invoices"),
-        _known(df, "stock_code", F.count_distinct).cast("long").alias("n_products"),
-        _known(df, "country", F.count_distinct).cast("long").alias("n_countries"),
         _known(df, "is_cancellation", count_if).cast("long").alias("n_cancellations"),
         _known(df, "line_revenue", money_sum).alias("total_net_revenue"),
         (
@@ -69,7 +80,7 @@ def dq_report(
         _known(df, "invoice_date", F.max).cast("timestamp_ntz").alias("invoice_date_max"),
         _known(df, "customer_id", lambda c: count_if(c.isNull())).alias("_null_customers"),
         _known(df, "invoice_date", lambda c: count_if(c.isNull())).alias("_null_dates"),
-    )
+    ).withColumns({name: _distinct(df, column) for name, column in DISTINCT.items()})
 
     first, last = F.col("invoice_date_min"), F.col("invoice_date_max")
     filled = F.col("n_rows") > 0

@@ -112,8 +112,8 @@ ISSUE_TEXTS = {
     "null_customer": "Null customer_id values present after cleaning",
     "null_date": "Null invoice_date values present after cleaning",
     "few_customers": "Fewer than two unique customers in the dataset",
-    "early": ("Earliest invoice ", " precedes "),
-    "late": ("Latest invoice ", " is after "),
+    "early": "Earliest invoice %s precedes %s",
+    "late": "Latest invoice %s is after %s",
     "empty_curated": "Curated transactions dataset is empty",
     "missing_curated": "Missing curated columns: {}",
     "bad_codes": " stock codes fail format {}: ",
