@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.ordering import running_totals
+from tideline.llm.bits import bitmap, has
 from tideline.llm.graph import components
 from tideline.llm.registry import named, query, table
 from tideline.session import materialise
@@ -43,8 +44,6 @@ NODE = 64
 #: Shingles in a leaf (or one class, if that is larger) and in a task.
 LEAF_SHINGLES = 400_000
 TASK_SHINGLES = 4_000_000
-#: Bits of the filters; they bound what is sent to the tasks (4 MB each).
-FILTER_BITS = 1 << 25
 SIZE_STEP = 1.4
 
 _U = np.uint64
@@ -184,29 +183,11 @@ def _sketch(width: int, num: int, den: int):
     return sketched
 
 
-def _bitmap(values: DataFrame, column: str) -> np.ndarray:
-    """Bits of the values of a long column, modulo ``FILTER_BITS``; of bounded size."""
-    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
-    words = values.select(
-        F.shiftright(bit, 5).alias("word"),
-        F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int")).alias("bit"),
-    )
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 32, dtype=np.int64)
-    out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
-    return out.astype(np.uint32)
-
-
-def _has(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    bit = values.astype(np.int64) % FILTER_BITS
-    return (bitmap[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
-
-
 def _shared_signatures(sketches: DataFrame) -> DataFrame:
     """(sig, k1, k2) of signatures that at least two rows have, and a few by chance."""
     spark = sketches.sparkSession
     often = sketches.select(F.explode("sigs").alias("sig")).groupBy("sig").count().filter("count > 1")
-    bits = spark.sparkContext.broadcast(_bitmap(often, "sig"))
+    bits = spark.sparkContext.broadcast(bitmap(often, "sig"))
 
     def filtered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -214,7 +195,7 @@ def _shared_signatures(sketches: DataFrame) -> DataFrame:
             if not lengths.sum():
                 continue
             flat = np.concatenate(batch["sigs"].to_list()).astype(np.int64)
-            keep = _has(bits.value, flat)
+            keep = has(bits.value, flat)
             yield pd.DataFrame(
                 {
                     "sig": flat[keep],
@@ -234,11 +215,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     before they are cut into shingles, and the join on the class decides.
     """
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_bitmap(wanted.select(F.xxhash64("rep").alias("h")), "h"))
+    bits = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("rep").alias("h")), "h"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch[_has(bits.value, batch["h"].to_numpy())]
+            batch = batch[has(bits.value, batch["h"].to_numpy())]
             for at in range(0, len(batch), 256):
                 sets = [shingle_set(t, width) for t in batch["text"].iloc[at : at + 256]]
                 keys = [set_key(s) for s in sets]

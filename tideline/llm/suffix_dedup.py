@@ -27,7 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.ngram_join import _bitmap, _has, _powers, mix
+from tideline.llm.bits import bitmap, has
+from tideline.llm.ngram_join import _powers, mix
 from tideline.llm.registry import named, query, table
 from tideline.session import materialise
 
@@ -387,13 +388,13 @@ def _fetch(bits, owners, length: int, gram: int):
 
     def fetched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch[_has(owners.value, batch["key"].to_numpy())]
+            batch = batch[has(owners.value, batch["key"].to_numpy())]
             key = batch["key"].to_numpy()
             for at in range(0, len(batch), 256):
                 texts = _encoded(batch["text"].iloc[at : at + 256])
                 for runs in _runs(texts, length, gram):
                     mine = key[at + runs["text"].to_numpy()]
-                    keep = _has(bits.value, _place(mine, runs["low"].to_numpy()))
+                    keep = has(bits.value, _place(mine, runs["low"].to_numpy()))
                     yield runs.loc[keep, ["fp", "ctx", "windows", "bytes"]]
 
     return fetched
@@ -493,11 +494,11 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         texts.mapInPandas(_occurrences(length, gram), "key long, low long, windows long, fp long, ctx long")
     )
     often = found.groupBy("fp").count().filter("count > 1")
-    bits = context.broadcast(_bitmap(often, "fp"))
+    bits = context.broadcast(bitmap(often, "fp"))
 
     @F.pandas_udf("boolean")
     def repeated(fp: pd.Series) -> pd.Series:
-        return pd.Series(_has(bits.value, fp.to_numpy()))
+        return pd.Series(has(bits.value, fp.to_numpy()))
 
     occurrences = materialise(found.filter(repeated("fp")))
     kinds = materialise(
@@ -527,8 +528,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         return pd.Series(_place(key.to_numpy(), low.to_numpy()))
 
     chosen = mixed.select("rep.key", "rep.low")
-    bits_of = context.broadcast(_bitmap(chosen.select(place("key", "low").alias("h")), "h"))
-    owners = context.broadcast(_bitmap(chosen.select("key"), "key"))
+    bits_of = context.broadcast(bitmap(chosen.select(place("key", "low").alias("h")), "h"))
+    owners = context.broadcast(bitmap(chosen.select("key"), "key"))
     fetched = texts.mapInPandas(
         _fetch(bits_of, owners, length, gram), "fp long, ctx long, windows long, bytes binary"
     )
@@ -592,11 +593,11 @@ def remove_repeats(
             F.flatten(F.collect_list("lows")).alias("lows"), F.flatten(F.collect_list("highs")).alias("highs")
         )
     )
-    bits = spark.sparkContext.broadcast(_bitmap(per_text.select("key"), "key"))
+    bits = spark.sparkContext.broadcast(bitmap(per_text.select("key"), "key"))
 
     @F.pandas_udf("boolean")
     def touched(key: pd.Series) -> pd.Series:
-        return pd.Series(_has(bits.value, key.to_numpy()))
+        return pd.Series(has(bits.value, key.to_numpy()))
 
     none = F.lit(None).cast("array<long>")
     may = slim.filter(touched("key")).join(per_text, "key", "left")
