@@ -85,9 +85,11 @@ def test_average_ranks(frame):
     assert np.allclose(pdf["v"].map(got), expected)
 
 
-def test_spread_lookup(frame):
+@pytest.mark.parametrize("rows_per_slice", [1, 5, 1_000_000])
+def test_spread_lookup(frame, rows_per_slice):
+    """Keys above the number of rows are spread over as many slices as that takes."""
     pdf, df = frame
-    ranks = ordering.average_ranks(df, "v").select("v", "average_rank")
-    joined = ordering.spread_lookup(df, ranks, ["v"])
+    ranks = ordering.average_ranks(df, "v").select("v", "n", "average_rank")
+    joined = ordering.spread_lookup(df, ranks, ["v"], "n", rows_per_slice)
     assert joined.count() == len(pdf)
     assert joined.agg(F.sum("average_rank")).head()[0] == pytest.approx(pdf["v"].rank().sum())
