@@ -35,9 +35,9 @@ from tideline.session import materialise
 LENGTH = 400
 GRAM = 32
 #: Bytes that a task looks at together; longer texts are cut into overlapping pieces.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Bytes of contexts in a shard, and contexts of one anchor up to which a shard holds them.
-SHARD_BYTES = 1_500_000
+SHARD_BYTES = 1_000_000
 ANCHOR_CONTEXTS = 2_000
 
 _U = np.uint64
