@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.llm.registry import named, query, table
+from tideline.llm.rows import keep_rows
 from tideline.session import materialise
 
 BLOCK_CHARS = 1024
@@ -172,19 +173,8 @@ def exact_groups(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were."""
-    kept = (
-        exact_groups(docs, id_col, text_col)
-        .filter("kept")
-        .select(F.col("id").alias("_kept_id"), F.col("sha").alias("_kept_sha"))
-    )
-    sha = F.sha2(normalised(named(text_col).cast("string")), 256)
-    same = named(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
-    return (
-        docs.withColumn("_sha", sha)
-        .join(kept, same, "left_semi")
-        .dropDuplicates([id_col, "_sha"])
-        .drop("_sha")
-    )
+    rows = exact_groups(docs, id_col, text_col).withColumnRenamed("sha", "mark")
+    return keep_rows(docs, id_col, F.sha2(normalised(named(text_col).cast("string")), 256), rows)
 
 
 ORACLE = f"""

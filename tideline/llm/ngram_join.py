@@ -11,9 +11,10 @@ How the work is spread:
 * Documents with the same set are one class; everything after that is about classes.
 * The root of the tree is a routing that loses no pair. Sets of sizes a and b that are similar
   enough differ in at most D = (a + b)(1 - t) / (1 + t) shingles. The hash range is cut into
-  D + 3 parts, so at least three parts have the same content in both, and at least one of
-  these is not empty unless both sets have many empty parts. Classes that share a part's
-  content (its signature) stand in one region. Sizes are handled in overlapping ranges.
+  D + 1 + e parts, so more than e parts have the same content in both, and at least one of
+  these is not empty unless both sets have more than e empty parts (e is such that this is
+  rare). Classes that share a part's content (its signature) stand in one region. Sizes are
+  handled in overlapping ranges.
 * Signatures that occur once are dropped by a count and a bounded bitmap before classes are
   shuffled on them. Regions are the connected components of "shares a signature".
 * In a region all are first compared with its most common class. Those that are linked to it are
@@ -26,7 +27,9 @@ How the work is spread:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,8 +38,9 @@ from pyspark.sql import functions as F
 
 from tideline.functions.ordering import running_totals
 from tideline.llm.bits import bitmap, has
-from tideline.llm.graph import components
+from tideline.llm.graph import components, written
 from tideline.llm.registry import named, query, table
+from tideline.llm.rows import keep_rows
 from tideline.session import materialise
 
 GROUPS = 64
@@ -135,6 +139,19 @@ def _size_ranges(most: int) -> list[int]:
 _RANGES = np.array(_size_ranges(1 << 40), dtype=np.int64)
 
 
+@lru_cache(maxsize=None)
+def _parts(k: int, num: int, den: int) -> tuple[int, int]:
+    """Number of parts for the sizes of range ``k``, and how many more of them a pair shares
+    than the one it has to: about as many as parts that may be empty by chance."""
+    apart = 2 * (int(_RANGES[k + 1]) - 1) * (den - num) // (den + num)
+    if not apart:
+        return 0, 0
+    least = int(_RANGES[k]) * num / den
+    empty = (apart + 1) * math.exp(-least / (apart + 1))
+    spare = 2 + math.ceil(empty + 3 * math.sqrt(empty))
+    return apart + 1 + spare, spare
+
+
 def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     """Signatures of the parts, for the set's size range and the next if a partner may be in it."""
     n = len(shingles)
@@ -146,19 +163,17 @@ def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
         for k in (own, own + 1):
             if k > own and n * den < num * int(_RANGES[k]):
                 break
-            top = int(_RANGES[k + 1]) - 1
-            apart = 2 * top * (den - num) // (den + num)
-            if not apart:
+            parts, spare = _parts(k, num, den)
+            if not parts:
                 continue  # only equal sets are similar enough, and these are one class
-            parts = apart + 3
             cuts = [-(-i * (1 << 64) // parts) for i in range(1, parts)]
             ends = np.searchsorted(shingles, np.array(cuts, dtype=_U))
             ends = np.concatenate(([0], ends, [n]))
             count = np.diff(ends)
             number = np.arange(parts, dtype=_U) + _U(k << 40)
             sig = mix((sums[ends[1:]] - sums[ends[:-1]]) ^ mix(number * _U(0x9FB21C651E98DF25) + count.astype(_U)))
-            # A pair shares three parts or more: with two empty ones at most, one is not empty.
-            out.append(sig if (count == 0).sum() > 2 else sig[count > 0])
+            # A pair shares more than ``spare`` parts: with no more empty ones, one is not empty.
+            out.append(sig if (count == 0).sum() > spare else sig[count > 0])
     return np.concatenate(out) if out else np.zeros(0, dtype=_U)
 
 
@@ -337,7 +352,8 @@ def _region_links(points: DataFrame, num: int, den: int) -> DataFrame:
     centre = points.groupBy("region").agg(
         F.max(F.struct("copies", (-F.col("cid")).alias("cid"))).alias("best")
     )
-    centre = materialise(centre.select("region", (-F.col("best.cid")).alias("cid")))
+    number = points.count()
+    centre = written(centre.select("region", (-F.col("best.cid")).alias("cid")), number)
     hub = materialise(
         points.join(centre, ["region", "cid"]).select(
             "region", F.col("cid").alias("hub"), F.col("shingles").alias("hub_shingles")
@@ -362,16 +378,15 @@ def _region_links(points: DataFrame, num: int, den: int) -> DataFrame:
         F.col("hub").alias("a"), F.col("cid").alias("b")
     )
     # A region in which all are linked to its centre is done.
-    open_regions = materialise(compared.filter(~F.col("linked")).select("region").distinct())
+    open_regions = written(compared.filter(~F.col("linked")).select("region").distinct(), number)
     placed = running_totals(
         compared.join(open_regions, "region", "left_semi").select("cid", "region", "n", "linked", "counts"),
         [F.col("n"), F.col("counts"), F.col("cid")],
         {"upto": F.col("n")},
         by=["region", "linked"],
     )
-    leaves = materialise(
-        placed.withColumn("leaf", F.floor((F.col("upto") - F.col("n")) / LEAF_SHINGLES)).drop("upto")
-    )
+    leaf = F.floor((F.col("upto") - F.col("n")) / LEAF_SHINGLES)
+    leaves = written(placed.withColumn("leaf", leaf).drop("upto"), number)
 
     corner = F.transform(
         F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.get("counts", g)
@@ -380,19 +395,20 @@ def _region_links(points: DataFrame, num: int, den: int) -> DataFrame:
     tops = exploded.groupBy("region", "linked", "leaf", "g").agg(
         F.max("count").alias("count"), F.min("n").alias("low"), F.max("n").alias("high")
     )
-    nodes = materialise(
+    nodes = written(
         tops.groupBy("region", "linked", "leaf").agg(
             F.transform(F.sort_array(F.collect_list(F.struct("g", "count"))), lambda x: x["count"]).alias("top"),
             F.min("low").alias("low"),
             F.max("high").alias("high"),
-        )
+        ),
+        number,
     )
     x, y = nodes.alias("x"), nodes.alias("y")
     reach = F.aggregate(
         F.zip_with("x.top", "y.top", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda s, v: s + v
     )
     in_order = F.struct("x.linked", "x.leaf") <= F.struct("y.linked", "y.leaf")
-    pairs = materialise(
+    pairs = written(
         x.join(y, [F.col("x.region") == F.col("y.region"), in_order, ~(F.col("x.linked") & F.col("y.linked"))])
         .filter((den + num) * reach >= num * (F.col("x.low") + F.col("y.low")))
         .filter((F.col("x.low") * num <= F.col("y.high") * den) & (F.col("y.low") * num <= F.col("x.high") * den))
@@ -406,12 +422,13 @@ def _region_links(points: DataFrame, num: int, den: int) -> DataFrame:
         )
         .select("region", "pair", F.explode("ends").alias("end"))
         .groupBy("region", "pair", F.col("end.linked").alias("linked"), F.col("end.leaf").alias("leaf"))
-        .agg(F.sum("end.side").cast("int").alias("side"))
+        .agg(F.sum("end.side").cast("int").alias("side")),
+        number,
     )
-    where = leaves.select("cid", "region", "linked", "leaf").join(pairs, ["region", "linked", "leaf"])
-    where = where.select("cid", "pair", "side", "linked")
-    work = points.join(where, "cid")
-    total = materialise(where).join(points.select("cid", "n"), "cid").agg(F.sum("n")).first()[0] or 0
+    where = leaves.select("cid", "region", "linked", "leaf", "n").join(pairs, ["region", "linked", "leaf"])
+    where = written(where.select("cid", "pair", "side", "linked", "n"), number)
+    total = where.agg(F.sum("n")).first()[0] or 0
+    work = points.join(where.drop("n"), "cid")
     tasks = max(1, -(-total // TASK_SHINGLES))
     inside = (
         work.withColumn("task", F.pmod(F.xxhash64("pair"), F.lit(tasks)))
@@ -435,40 +452,42 @@ def _component_rows(
     sketches = materialise(
         read.mapInPandas(_sketch(width, num, den), schema).withColumn("id", F.col("id").cast("long"))
     )
-    classes = materialise(
+    number = sketches.count()
+    classes = written(
         sketches.filter("n > 0")
         .groupBy("k1", "k2")
         .agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-        .withColumn("cid", F.monotonically_increasing_id())
+        .withColumn("cid", F.monotonically_increasing_id()),
+        number,
     )
     members = materialise(
         _shared_signatures(sketches).join(classes.select("k1", "k2", "cid"), ["k1", "k2"]).select("sig", "cid")
     )
-    hubs = materialise(
-        members.groupBy("sig").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    )
-    near = members.join(hubs, "sig").select("a", F.col("cid").alias("b")).filter("a <> b").distinct()
-    regions = materialise(components(near))
+    hubs = members.groupBy("sig").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("size"))
+    hubs = written(hubs.filter("size > 1"), members.count())
+    near = members.join(hubs, "sig").select("a", F.col("cid").alias("b"))
+    regions = written(components(near), number)
     wanted = classes.join(regions.withColumnsRenamed({"node": "cid", "component": "region"}), "cid")
     points = materialise(_sets_of(slim, wanted, width))
-    links = materialise(_region_links(points, num, den))
+    links = _region_links(points, num, den)
     joined = components(links).withColumnsRenamed({"node": "cid"})
-    whole = materialise(
+    whole = written(
         classes.join(joined, "cid", "left").select(
             "k1", "k2", "rep", F.coalesce("component", "cid").alias("component")
-        )
+        ),
+        number,
+    )
+    least = written(whole.groupBy("component").agg(F.min("rep").alias("component_id")), number)
+    found = written(
+        whole.join(least, "component").select("k1", "k2", "component", "component_id"), number
     )
-    least = materialise(whole.groupBy("component").agg(F.min("rep").alias("component_id")))
-    found = materialise(whole.join(least, "component").select("k1", "k2", "component", "component_id"))
     rows = sketches.select("id", "mark", "n", "k1", "k2")
     alone = rows.filter("n = 0").select(
         "id", "mark", "n", F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id")
     )
-    return materialise(
-        rows.filter("n > 0")
-        .join(found, ["k1", "k2"])
-        .select("id", "mark", "n", "component", "component_id")
-        .unionByName(alone)
+    linked = rows.filter("n > 0").join(found, ["k1", "k2"])
+    return written(
+        linked.select("id", "mark", "n", "component", "component_id").unionByName(alone), number
     )
 
 
@@ -504,18 +523,16 @@ def keep_one(
     hash of the text); columns as they were. Rows without words stay."""
     rows = _component_rows(docs, id_col, text_col, width, num, den).filter("component is not null")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")
-    stays = rows.groupBy("component").agg(F.min(order).alias("first")).select(
-        F.col("first.id").alias("_first_id"), F.col("first.mark").alias("_first_mark")
+    first = rows.groupBy("component").agg(F.min(order).alias("first"))
+    judged = rows.join(first, "component").select(
+        "id",
+        "mark",
+        (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))).alias("kept"),
     )
     text = named(text_col).cast("string")
-    same = [
-        named(id_col).cast("long").eqNullSafe(F.col("_first_id")),
-        F.col("_mark") == F.col("_first_mark"),
-    ]
     has_words = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    marked = docs.withColumn("_mark", F.xxhash64(text)).filter(has_words)
-    kept = marked.join(materialise(stays), same, "left_semi").dropDuplicates([id_col, "_mark"])
-    return kept.drop("_mark").unionByName(docs.filter(~has_words))
+    kept = keep_rows(docs.filter(has_words), id_col, F.xxhash64(text), judged)
+    return kept.unionByName(docs.filter(~has_words))
 
 
 @query("op4_ngram_jaccard_join")
