@@ -12,6 +12,7 @@ from tideline.llm import (  # noqa: F401
     packing,
     pages,
     quality,
+    quality_rules,
     suffix_dedup,
 )
 from tideline.llm.registry import ORACLES, QUERIES  # noqa: F401
