@@ -6,6 +6,7 @@ from tideline.llm import (  # noqa: F401
     chat,
     exact_dedup,
     knn_join,
+    lexical_search,
     line_dedup,
     mixing,
     ngram_join,
