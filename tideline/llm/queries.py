@@ -14,6 +14,7 @@ from tideline.llm import (  # noqa: F401
     pages,
     quality,
     quality_rules,
+    spelling,
     suffix_dedup,
 )
 from tideline.llm.registry import ORACLES, QUERIES  # noqa: F401
