@@ -249,7 +249,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     texts = docs.select(F.xxhash64("id").alias("h"), "text")
     sets = texts.mapInPandas(cut, "k1 long, k2 long, shingles binary, counts array<int>")
-    return wanted.join(sets, ["k1", "k2"]).dropDuplicates(["cid"])
+    # One class, one key: rows of a class lie together after the join and move no further.
+    return wanted.join(sets, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
 
 
 def _counts(shingles: np.ndarray) -> np.ndarray:

@@ -35,6 +35,8 @@ EXTRA = 10
 FEATURES = 256 + PAIRS + EXTRA
 #: Bytes by which a text counts as longer, so that shares of short texts stay calm.
 CALM = 100
+#: Rows that are worked on at a time on the driver.
+ROW_BLOCK = 1_024
 STEPS, RATE, DECAY = 600, 0.05, 1e-2
 #: With fewer positives than this the weights are held back more, down to the prior alone.
 FEW = 400
@@ -96,6 +98,43 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _parts(x: np.ndarray) -> Iterator[np.ndarray]:
+    for at in range(0, len(x), ROW_BLOCK):
+        yield x[at : at + ROW_BLOCK]
+
+
+def _sum(x: np.ndarray, centre: np.ndarray | None = None) -> np.ndarray:
+    """Column sums, of squared distances from ``centre`` if given, a block of rows at a time."""
+    out = np.zeros(FEATURES)
+    for part in _parts(x):
+        out += part.sum(axis=0, dtype=float) if centre is None else ((part - centre) ** 2).sum(axis=0)
+    return out
+
+
+def _scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """``x`` in units of ``scale``; 32-bit arrays are changed in place."""
+    out = x if x.dtype == np.float32 else x.astype(np.float32)
+    for part in _parts(out):
+        part -= mean.astype(np.float32)
+        part /= scale.astype(np.float32)
+    return out
+
+
+def _margins(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The last entry of ``w`` is the bias, which has no column in ``x``."""
+    return (x @ w[:-1].astype(np.float32)).astype(float) + w[-1]
+
+
+def _weighted(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sums of the columns, and of a column of ones, by ``weights``."""
+    out = np.zeros(FEATURES + 1)
+    for at in range(0, len(x), ROW_BLOCK):
+        part = weights[at : at + ROW_BLOCK]
+        out[:-1] += part.astype(np.float32) @ x[at : at + ROW_BLOCK]
+    out[-1] = weights.sum()
+    return out
+
+
 def fit_nnpu(
     positives: np.ndarray,
     web: np.ndarray,
@@ -105,23 +144,24 @@ def fit_nnpu(
     decay: float = DECAY,
 ) -> Model:
     """Minimise the non-negative risk by Adam over whole gradients. Without positives or web
-    text every score is the prior."""
-    both = np.vstack([positives, web]) if len(positives) + len(web) else np.zeros((0, FEATURES))
-    mean = both.mean(axis=0) if len(both) else np.zeros(FEATURES)
-    scale = both.std(axis=0) + 1e-3 if len(both) else np.ones(FEATURES)
+    text every score is the prior. 32-bit inputs are scaled in place, so they are held once."""
+    rows = len(positives) + len(web)
+    mean, scale = np.zeros(FEATURES), np.ones(FEATURES)
+    if rows:
+        mean = (_sum(positives) + _sum(web)) / rows
+        scale = np.sqrt((_sum(positives, mean) + _sum(web, mean)) / rows) + 1e-3
     if not len(positives) or not len(web):
         odds = np.log(prior / (1 - prior)) if 0 < prior < 1 else 30.0 * (2 * prior - 1)
         return Model(np.zeros(FEATURES), float(odds), mean, scale, prior)
-    p = np.hstack([(positives - mean) / scale, np.ones((len(positives), 1))])
-    u = np.hstack([(web - mean) / scale, np.ones((len(web), 1))])
+    p, u = _scaled(positives, mean, scale), _scaled(web, mean, scale)
     decay *= max(1.0, FEW / len(positives))
     w = np.zeros(FEATURES + 1)
     first, second = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        gp, gu = p @ w, u @ w
+        gp, gu = _margins(p, w), _margins(u, w)
         # Derivatives of the logistic loss: l'(g) = -s(-g) for label 1, s(g) for label 0.
-        down = -(prior / len(p)) * (_sigmoid(-gp) @ p)
-        rest = (_sigmoid(gu) @ u) / len(u) - (prior / len(p)) * (_sigmoid(gp) @ p)
+        down = -(prior / len(p)) * _weighted(_sigmoid(-gp), p)
+        rest = _weighted(_sigmoid(gu), u) / len(u) - (prior / len(p)) * _weighted(_sigmoid(gp), p)
         negative_risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         grad = down + rest if negative_risk >= 0 else -rest
         grad = grad + decay * np.append(w[:-1], 0.0)  # the bias is free to follow the prior
@@ -135,7 +175,8 @@ def fit_nnpu(
 
 def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"features": [describe(t).tolist() for t in batch["text"]]})
+        packed = [describe(t).astype("<f4").tobytes() for t in batch["text"]]
+        yield pd.DataFrame({"id": batch["id"], "at": batch["at"], "features": packed})
 
 
 def held_out(id_text: Column) -> Column:
@@ -176,11 +217,16 @@ def train(
     )
 
     def vectors(chosen: DataFrame) -> np.ndarray:
-        # At most ``sample_rows`` ids: a bounded side to broadcast.
-        rows = texts.join(F.broadcast(chosen), "id", "left_semi").select("text")
-        found = rows.mapInPandas(_described, "features array<float>").limit(2 * sample_rows)
-        frame = found.toPandas()["features"].to_list()
-        return np.vstack(frame).astype(float) if frame else np.zeros((0, FEATURES))
+        # At most ``sample_rows`` ids: a bounded side to broadcast. Of rows with one id the text
+        # of smallest hash is taken, so there is one vector per id.
+        rows = texts.join(F.broadcast(chosen), "id", "left_semi").select("id", F.xxhash64("text").alias("at"), "text")
+        described = rows.mapInPandas(_described, "id string, at long, features binary")
+        one = described.groupBy("id").agg(F.min_by("features", F.struct("at", "features")).alias("features"))
+        packed = one.orderBy("id").select("features").toArrow().column("features")
+        out = np.zeros((len(packed), FEATURES), dtype=np.float32)
+        for i, row in enumerate(packed):
+            out[i] = np.frombuffer(row.as_buffer(), dtype="<f4")
+        return out
 
     return fit_nnpu(vectors(trusted), vectors(web), prior)
 
