@@ -30,6 +30,7 @@ from tideline.operators.modelling import (
     feature_importance,
     feature_selection,
     fit_pipeline,
+    side_by_side,
     with_class_weight,
 )
 from tideline.params import ChurnParams
@@ -110,6 +111,15 @@ def fit_classifier(
     return fit_pipeline(columns, weighted, estimator, scale=name == "logistic_regression")
 
 
+def fit_classifiers(
+    train: DataFrame, columns: FeatureColumns, params: ChurnParams
+) -> dict[str, PipelineModel]:
+    """Every candidate, fitted side by side."""
+    return side_by_side(
+        {name: lambda n=name: fit_classifier(n, train, columns, params) for name in params.models}
+    )
+
+
 def score(model: PipelineModel, df: DataFrame, params: ChurnParams, name: str = RAW) -> DataFrame:
     """Ids, label and probability of churn."""
     probability = vector_to_array("probability")[1].alias(name)
@@ -183,10 +193,15 @@ def predictions_table(test: DataFrame, final: Column, threshold: float) -> DataF
 
 
 def train_churn(
-    train: DataFrame, validation: DataFrame, test: DataFrame, params: ChurnParams = ChurnParams()
+    train: DataFrame,
+    validation: DataFrame,
+    test: DataFrame,
+    params: ChurnParams = ChurnParams(),
+    models: dict[str, PipelineModel] | None = None,
 ) -> ChurnResult:
+    """Choose, calibrate and report; ``models`` are candidates that have been fitted already."""
     columns = churn_columns(train, params)
-    models = {name: fit_classifier(name, train, columns, params) for name in params.models}
+    models = models or fit_classifiers(train, columns, params)
     scored = score_candidates(models, {"validation": validation, "test": test}, params)
     metrics = materialise(classification_metrics(scored, "y_true", RAW, by=["model", "split"]))
     best = select_model(metrics, params.models)

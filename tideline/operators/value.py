@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -19,11 +20,13 @@ from pyspark.sql import functions as F
 from tideline.functions.metrics import regression_metrics, top_size
 from tideline.functions.ordering import running_totals
 from tideline.functions.scalars import clip, rounded, zero_if_undefined
+from tideline.operators.boosting import BoostParams, TweedieBoost
 from tideline.operators.modelling import (
     FeatureColumns,
     feature_importance,
     feature_selection,
     fit_pipeline,
+    side_by_side,
 )
 from tideline.params import ValueParams
 from tideline.session import materialise
@@ -87,6 +90,18 @@ def regressor(name: str, rows: int, params: ValueParams):
             **common,
         )
     if name == "tweedie":
+        boosting = BoostParams(
+            rounds=params.boosting_rounds,
+            rate=params.boosting_rate,
+            depth=params.boosting_depth,
+            min_rows=params.boosting_min_rows,
+            row_share=params.boosting_subsample,
+            feature_share=params.boosting_feature_share,
+            variance_power=params.tweedie_variance_power,
+            seed=params.seed,
+        )
+        return TweedieBoost(params_json=json.dumps(asdict(boosting)), **common)
+    if name == "tweedie_glm":
         return GeneralizedLinearRegression(
             family="tweedie",
             variancePower=params.tweedie_variance_power,
@@ -104,7 +119,7 @@ def fit_regressor(
     name: str, train: DataFrame, columns: FeatureColumns, params: ValueParams
 ) -> PipelineModel:
     estimator = regressor(name, train.count(), params)
-    if name != "tweedie":
+    if name != "tweedie_glm":
         return fit_pipeline(columns, train, estimator, scale=name in LINEAR)
     # Around 1 the reweighted fits of the log link settle; on raw money they overflow.
     unit = train.agg(F.avg(params.target)).head()[0] or 1.0
@@ -115,6 +130,15 @@ def fit_regressor(
     return fit_pipeline(columns, scaled, estimator, scale=True, compress=True, after=[back])
 
 
+def fit_regressors(
+    train: DataFrame, columns: FeatureColumns, params: ValueParams
+) -> dict[str, PipelineModel]:
+    """Every candidate, fitted side by side."""
+    return side_by_side(
+        {name: lambda n=name: fit_regressor(n, train, columns, params) for name in params.models}
+    )
+
+
 def predict(model: PipelineModel, df: DataFrame, params: ValueParams) -> DataFrame:
     return model.transform(df).select(
         *params.id_columns,
@@ -138,10 +162,15 @@ def select_regressor(metrics: DataFrame, order: tuple[str, ...], metric: str) ->
 
 
 def train_value(
-    train: DataFrame, validation: DataFrame, test: DataFrame, params: ValueParams = ValueParams()
+    train: DataFrame,
+    validation: DataFrame,
+    test: DataFrame,
+    params: ValueParams = ValueParams(),
+    models: dict[str, PipelineModel] | None = None,
 ) -> ValueResult:
+    """Choose and report; ``models`` are candidates that have been fitted already."""
     columns = value_columns(train, params)
-    models = {name: fit_regressor(name, train, columns, params) for name in params.models}
+    models = models or fit_regressors(train, columns, params)
     parts = [
         predict(model, df, params).select(
             F.lit(name).alias("model"), F.lit(split).alias("split"), "*"

@@ -223,7 +223,8 @@ class ValueParams:
     id_columns: tuple[str, ...] = ("customer_id", "cohort_date")
     categorical_features: tuple[str, ...] = ("country_grouped",)
     exclude_features: tuple[str, ...] = ("churn", "future_orders")
-    models: tuple[str, ...] = ("ridge", "random_forest", "gradient_boosting", "tweedie")
+    # "gradient_boosting" (squared errors) and "tweedie_glm" can be added.
+    models: tuple[str, ...] = ("ridge", "random_forest", "tweedie")
     ridge_alpha: float = 1.0
     forest_trees: int = 300
     forest_min_leaf: int = 5
@@ -233,6 +234,7 @@ class ValueParams:
     boosting_depth: int = 5
     boosting_subsample: float = 0.8
     boosting_feature_share: float = 0.8
+    boosting_min_rows: int = 20
     tweedie_variance_power: float = 1.5
     tweedie_penalty: float = 0.01
     selection_metric: str = "mae"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import churn, explain, modelling, segmentation, value
 from tideline.plans import stages
-from tideline.plans.blocks import BLOCKS
+from tideline.plans.blocks import BLOCKS, NUMERIC_FEATURES
 from tideline.plans.registry import query
 from tideline.session import new_path
 from tideline.sources import sinks
@@ -17,7 +17,19 @@ from tideline.sources.star_schema import read_table
 TEST_COHORT = f"TIMESTAMP '{stages.COHORTS.test_cohorts[0]}'"
 
 
-@query("feature_selection")
+FEATURES_SQL = BLOCKS.sql(
+    "SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, '{kind}' AS kind, count({c}) AS n FROM p_panel"
+        for kind, names in (("numeric", NUMERIC_FEATURES), ("categorical", ["country_grouped"]))
+        for c in names
+    )
+    + ")",
+    "p_panel",
+)
+
+
+@query("feature_selection", FEATURES_SQL)
 def feature_selection(spark, sf_dir):
     columns = churn.churn_columns(stages.panel(spark, sf_dir))
     panel = stages.panel(spark, sf_dir)
@@ -53,7 +65,7 @@ def one_hot(spark, sf_dir):
 
 def _classifier(name: str):
     def build(spark, sf_dir):
-        model = stages.churn_result(spark, sf_dir).models[name]
+        model = stages.churn_model(spark, sf_dir, name)
         test = stages.split(spark, sf_dir, stages.COHORTS.test_cohorts)
         return churn.score(model, test, stages.COHORTS)
 
@@ -67,7 +79,7 @@ query("gbt_clf")(_classifier("gradient_boosting"))
 
 def _regressor(name: str):
     def build(spark, sf_dir):
-        model = stages.value_result(spark, sf_dir).models[name]
+        model = stages.value_model(spark, sf_dir, name)
         test = stages.split(spark, sf_dir, stages.COHORTS.test_cohorts)
         return value.clv_predictions(model, test, stages.VALUE)
 
@@ -228,10 +240,10 @@ def segmentation_report(spark, sf_dir):
 
 def _forest(spark, sf_dir):
     """The fitted forest, the names of its features and its contributions to the test rows."""
-    result = stages.churn_result(spark, sf_dir)
-    model = result.models["random_forest"]
-    test = stages.split(spark, sf_dir, stages.COHORTS.test_cohorts)
-    return model, modelling.vector_names(result.columns, model), explain.tree_shap(model, test)
+    model = stages.churn_model(spark, sf_dir, "random_forest")
+    train, _, test = stages.three_splits(spark, sf_dir)
+    columns = churn.churn_columns(train, stages.COHORTS)
+    return model, modelling.vector_names(columns, model), explain.tree_shap(model, test)
 
 
 @query("tree_shap")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators.baseline import baseline_scores
 from tideline.operators.cleaning import clean_transactions
 from tideline.operators.curation import curate_transactions
-from tideline.operators.churn import ChurnResult, train_churn
+from tideline.operators.churn import ChurnResult, churn_columns, fit_classifier, train_churn
 from tideline.operators.explain import Explanation, customer_top_factors, explain
 from tideline.operators.features import (
     Cutoffs,
@@ -32,7 +33,14 @@ from tideline.operators.segmentation import (
     segment_customers,
 )
 from tideline.operators.survival import survival_input
-from tideline.operators.value import ValueResult, train_value, value_and_risk
+from tideline.operators.modelling import side_by_side
+from tideline.operators.value import (
+    ValueResult,
+    fit_regressor,
+    train_value,
+    value_and_risk,
+    value_columns,
+)
 from tideline.params import (
     CLUSTER_FEATURES,
     ChurnParams,
@@ -277,16 +285,65 @@ def three_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return train, validation, test
 
 
+def churn_model(spark: SparkSession, sf_dir: str, name: str) -> PipelineModel:
+    """One churn candidate, fitted once per session and by itself."""
+
+    def fit() -> PipelineModel:
+        train = split(spark, sf_dir, COHORTS.train_cohorts)
+        return fit_classifier(name, train, churn_columns(train, COHORTS), COHORTS)
+
+    return _fit_once(spark, sf_dir, f"churn {name}", fit)
+
+
+def value_model(spark: SparkSession, sf_dir: str, name: str) -> PipelineModel:
+    """One value candidate, fitted once per session and by itself."""
+
+    def fit() -> PipelineModel:
+        train = split(spark, sf_dir, COHORTS.train_cohorts)
+        return fit_regressor(name, train, value_columns(train, VALUE), VALUE)
+
+    return _fit_once(spark, sf_dir, f"value {name}", fit)
+
+
+def _candidates(spark: SparkSession, sf_dir: str, names, fit) -> dict[str, PipelineModel]:
+    panel(spark, sf_dir)  # written once, before the fits read it side by side
+    return side_by_side({name: lambda n=name: fit(spark, sf_dir, n) for name in names})
+
+
+def churn_models(spark: SparkSession, sf_dir: str) -> dict[str, PipelineModel]:
+    return _candidates(spark, sf_dir, COHORTS.models, churn_model)
+
+
+def value_models(spark: SparkSession, sf_dir: str) -> dict[str, PipelineModel]:
+    return _candidates(spark, sf_dir, VALUE.models, value_model)
+
+
 def churn_result(spark: SparkSession, sf_dir: str) -> ChurnResult:
-    return _fit_once(
-        spark, sf_dir, "churn", lambda: train_churn(*three_splits(spark, sf_dir), COHORTS)
-    )
+    def train() -> ChurnResult:
+        models = churn_models(spark, sf_dir)
+        return train_churn(*three_splits(spark, sf_dir), COHORTS, models)
+
+    return _fit_once(spark, sf_dir, "churn", train)
 
 
 def value_result(spark: SparkSession, sf_dir: str) -> ValueResult:
-    return _fit_once(
-        spark, sf_dir, "value", lambda: train_value(*three_splits(spark, sf_dir), VALUE)
+    def train() -> ValueResult:
+        models = value_models(spark, sf_dir)
+        return train_value(*three_splits(spark, sf_dir), VALUE, models)
+
+    return _fit_once(spark, sf_dir, "value", train)
+
+
+def both_results(spark: SparkSession, sf_dir: str) -> tuple[ChurnResult, ValueResult]:
+    """Both results, whose candidates are fitted side by side."""
+    panel(spark, sf_dir)
+    found = side_by_side(
+        {
+            "churn": lambda: churn_result(spark, sf_dir),
+            "value": lambda: value_result(spark, sf_dir),
+        }
     )
+    return found["churn"], found["value"]
 
 
 def segment_result(spark: SparkSession, sf_dir: str) -> SegmentResult:
@@ -306,16 +363,13 @@ def explanation(spark: SparkSession, sf_dir: str) -> Explanation:
 
 def modelled_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value and risk from both fitted models."""
-    return stage_table(
-        spark,
-        sf_dir,
-        "modelled_value_risk",
-        lambda: value_and_risk(
-            split(spark, sf_dir, COHORTS.test_cohorts),
-            value_result(spark, sf_dir).predictions,
-            churn_result(spark, sf_dir).predictions,
-        ),
-    )
+
+    def build() -> DataFrame:
+        churn, value = both_results(spark, sf_dir)
+        test = split(spark, sf_dir, COHORTS.test_cohorts)
+        return value_and_risk(test, value.predictions, churn.predictions)
+
+    return stage_table(spark, sf_dir, "modelled_value_risk", build)
 
 
 def modelled_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
