@@ -215,9 +215,11 @@ def near_words(words: DataFrame) -> DataFrame:
 
 def with_forms(words: DataFrame, links: DataFrame) -> DataFrame:
     """Each word with its number of near words, and its form and the form's number, if any."""
-    rows = links.select("a", "b", F.col("n_b").alias("n")).unionByName(
-        links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_a").alias("n"))
-    )
+    ends = [
+        F.struct(F.col(x).alias("a"), F.col(y).alias("b"), F.col(f"n_{y}").alias("n"))
+        for x, y in (("a", "b"), ("b", "a"))
+    ]
+    rows = links.select(F.inline(F.array(*ends)))
     # The least of (-n, word) is the near word of largest n, ties to the smallest word.
     best = rows.groupBy(F.col("a").alias("word")).agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("n")).alias("minus"), "b")).alias("best")
