@@ -15,6 +15,9 @@ How the work is spread:
   these is not empty unless both sets have more than e empty parts (e is such that this is
   rare). Classes that share a part's content (its signature) stand in one region. Sizes are
   handled in overlapping ranges.
+* Parts are a tenth more than that, so similar sets share as many signatures more than one. A class
+  that shares fewer with all others together is similar to none; texts with a passage in common
+  fall away here, before their sets are built.
 * Signatures that occur once are dropped by a count and a bounded bitmap before classes are
   shuffled on them. Regions are the connected components of "shares a signature".
 * In a region all are first compared with its most common class. Those that are linked to it are
@@ -49,6 +52,8 @@ NODE = 64
 LEAF_SHINGLES = 400_000
 TASK_SHINGLES = 4_000_000
 SIZE_STEP = 1.4
+#: One more part for each so many shingles by which similar sets may differ.
+MORE_PARTS = 10
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5
@@ -140,16 +145,22 @@ _RANGES = np.array(_size_ranges(1 << 40), dtype=np.int64)
 
 
 @lru_cache(maxsize=None)
-def _parts(k: int, num: int, den: int) -> tuple[int, int]:
-    """Number of parts for the sizes of range ``k``, and how many more of them a pair shares
-    than the one it has to: about as many as parts that may be empty by chance."""
+def _parts(k: int, num: int, den: int) -> tuple[int, int, int]:
+    """Number of parts for the sizes of range ``k``, how many of them may be empty by chance, and
+    how many more a pair shares than one beside these."""
     apart = 2 * (int(_RANGES[k + 1]) - 1) * (den - num) // (den + num)
     if not apart:
-        return 0, 0
+        return 0, 0, 0
     least = int(_RANGES[k]) * num / den
     empty = (apart + 1) * math.exp(-least / (apart + 1))
     spare = 2 + math.ceil(empty + 3 * math.sqrt(empty))
-    return apart + 1 + spare, spare
+    more = -(-apart // MORE_PARTS)
+    return apart + 1 + spare + more, spare, more
+
+
+def needed(n: int, num: int, den: int) -> int:
+    """Signatures that a set of ``n`` shingles shares with each set similar to it, at least."""
+    return 1 + _parts(int(np.searchsorted(_RANGES, max(n, 1), side="right")) - 1, num, den)[2]
 
 
 def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -163,7 +174,7 @@ def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
         for k in (own, own + 1):
             if k > own and n * den < num * int(_RANGES[k]):
                 break
-            parts, spare = _parts(k, num, den)
+            parts, spare, _ = _parts(k, num, den)
             if not parts:
                 continue  # only equal sets are similar enough, and these are one class
             cuts = [-(-i * (1 << 64) // parts) for i in range(1, parts)]
@@ -191,6 +202,7 @@ def _sketch(width: int, num: int, den: int):
                         "n": [len(s) for s in sets],
                         "k1": [k[0] for k in keys],
                         "k2": [k[1] for k in keys],
+                        "needed": [needed(len(s), num, den) for s in sets],
                         "sigs": [signatures(s, num, den).view(np.int64) for s in sets],
                     }
                 )
@@ -223,6 +235,15 @@ def _shared_signatures(sketches: DataFrame) -> DataFrame:
     return rows.mapInPandas(filtered, "sig long, k1 long, k2 long").distinct()
 
 
+def _enough(members: DataFrame) -> DataFrame:
+    """(sig, cid) of the classes that share enough signatures to be similar to any other."""
+    members = materialise(members)
+    often = members.groupBy("sig").count().filter("count > 1").select("sig")
+    shared = members.join(often, "sig", "left_semi")
+    enough = shared.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed"))
+    return shared.select("sig", "cid").join(enough.filter("n >= needed").select("cid"), "cid", "left_semi")
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``wanted`` classes with their sets (``shingles``: sorted hashes as bytes) and counts.
 
@@ -449,7 +470,7 @@ def _component_rows(
         named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text")
     )
     read = slim.select(F.col("id").cast("string").alias("id"), F.xxhash64("text").alias("mark"), "text")
-    schema = "id string, mark long, n long, k1 long, k2 long, sigs array<long>"
+    schema = "id string, mark long, n long, k1 long, k2 long, needed int, sigs array<long>"
     sketches = materialise(
         read.mapInPandas(_sketch(width, num, den), schema).withColumn("id", F.col("id").cast("long"))
     )
@@ -457,12 +478,21 @@ def _component_rows(
     classes = written(
         sketches.filter("n > 0")
         .groupBy("k1", "k2")
-        .agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+        .agg(
+            F.min("id").alias("rep"),
+            F.max("n").alias("n"),
+            F.max("needed").alias("needed"),
+            F.count(F.lit(1)).alias("copies"),
+        )
         .withColumn("cid", F.monotonically_increasing_id()),
         number,
     )
     members = materialise(
-        _shared_signatures(sketches).join(classes.select("k1", "k2", "cid"), ["k1", "k2"]).select("sig", "cid")
+        _enough(
+            _shared_signatures(sketches)
+            .join(classes.select("k1", "k2", "cid", "needed"), ["k1", "k2"])
+            .select("sig", "cid", "needed")
+        )
     )
     hubs = members.groupBy("sig").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("size"))
     hubs = written(hubs.filter("size > 1"), members.count())
