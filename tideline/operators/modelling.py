@@ -191,7 +191,8 @@ def side_by_side(tasks: dict[str, Callable[[], T_]]) -> dict[str, T_]:
     inherit the caller's job properties; the first failure is raised once all have ended.
     """
     with ThreadPoolExecutor(max_workers=SIDE_BY_SIDE) as pool:
-        started = {name: pool.submit(inheritable_thread_target(task)) for name, task in tasks.items()}
+        inherited = inheritable_thread_target(SparkSession.active())
+        started = {name: pool.submit(inherited(task)) for name, task in tasks.items()}
     return {name: future.result() for name, future in started.items()}
 
 

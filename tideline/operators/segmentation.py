@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions.ordering import global_rank
 from tideline.functions.scalars import lookup, rounded
+from tideline.operators.clustering import (
+    fit_kmeans_all,
+    fit_mixtures,
+    fit_ward,
+    mixture_assigned,
+    nearest,
+    silhouettes,
+    ward_assigned,
+)
 from tideline.operators.modelling import impute_median, standard_scale
 from tideline.params import STRATEGY_FALLBACK, VALUE_PROXY_DEFINITION, SegmentationParams
 from tideline.session import materialise
@@ -56,67 +63,47 @@ def cluster_matrix(
     return standard_scale(filled, filled, columns)
 
 
-def as_vectors(matrix: DataFrame, params: SegmentationParams = SegmentationParams()) -> DataFrame:
-    assembler = VectorAssembler(inputCols=list(params.cluster_features), outputCol="features")
-    return assembler.transform(matrix).select("customer_id", "features")
-
-
-def fit_kmeans(vectors: DataFrame, k: int, params: SegmentationParams):
-    """The cheapest of several starts."""
-    runs = [
-        KMeans(k=k, seed=params.seed + i, featuresCol="features", predictionCol="cluster").fit(
-            vectors
-        )
-        for i in range(params.kmeans_restarts)
-    ]
-    return min(runs, key=lambda model: model.summary.trainingCost)
-
+def as_points(matrix: DataFrame, params: SegmentationParams = SegmentationParams()) -> DataFrame:
+    return matrix.select("customer_id", F.array(*params.cluster_features).alias("features"))
 
-def fit_gmm(vectors: DataFrame, k: int, params: SegmentationParams):
-    return GaussianMixture(
-        k=k, seed=params.seed, featuresCol="features", predictionCol="cluster"
-    ).fit(vectors)
 
+def with_kmeans(points: DataFrame, ks: Sequence[int], params: SegmentationParams) -> DataFrame:
+    """The cheapest of several starts for each k, all fitted in the same scans."""
+    fits = fit_kmeans_all(points, ks, params.kmeans_restarts, params.seed)
+    return points.withColumns({f"kmeans_{k}": nearest(fits[k].centres) for k in ks})
 
-def fit_hierarchical(vectors: DataFrame, k: int, params: SegmentationParams):
-    """Divisive instead of agglomerative: the latter needs all pairs of customers."""
-    return BisectingKMeans(
-        k=k, seed=params.seed, featuresCol="features", predictionCol="cluster"
-    ).fit(vectors)
 
+def with_gmm(points: DataFrame, ks: Sequence[int], params: SegmentationParams) -> DataFrame:
+    """A Gaussian mixture with full covariances for each k, all fitted in the same scans."""
+    fits = fit_mixtures(points, ks, params.seed, params.gmm_max_iter, params.gmm_tolerance)
+    return mixture_assigned(points, {f"gmm_{k}": fit for k, fit in fits.items()})
 
-FITTERS = {"kmeans": fit_kmeans, "gmm": fit_gmm, "hierarchical": fit_hierarchical}
 
+def with_hierarchical(points: DataFrame, ks: Sequence[int], params: SegmentationParams) -> DataFrame:
+    """Ward's hierarchy, cut at each k."""
+    return ward_assigned(points, fit_ward(points), ks, "hierarchical_")
 
-def assign(model, vectors: DataFrame) -> DataFrame:
-    return model.transform(vectors).select("customer_id", "features", "cluster")
 
+CLUSTERERS = {"kmeans": with_kmeans, "gmm": with_gmm, "hierarchical": with_hierarchical}
 
-def silhouette(assigned: DataFrame) -> float:
-    """Mean silhouette over squared Euclidean distances."""
-    return ClusteringEvaluator(
-        featuresCol="features", predictionCol="cluster", metricName="silhouette"
-    ).evaluate(assigned)
 
-
-def segment_grid(vectors: DataFrame, params: SegmentationParams = SegmentationParams()):
-    """Fit every model at every k; returns the candidates and the best assignment."""
-    candidates, best = [], None
-    for k in params.k_range:
-        for name in params.models:
-            assigned = assign(FITTERS[name](vectors, k, params), vectors)
-            if assigned.select("cluster").distinct().limit(2).count() < 2:
-                continue
-            score = silhouette(assigned)
-            candidates.append((name, k, score))
-            if best is None or score > best[2]:
-                best = (name, k, score, assigned)
-    if best is None:
+def segment_grid(points: DataFrame, params: SegmentationParams = SegmentationParams()):
+    """Every model at every k; returns the candidates and the best (model, k, score, rows)."""
+    assigned = points
+    for name in params.models:
+        assigned = CLUSTERERS[name](assigned, params.k_range, params)
+    assigned = materialise(assigned)
+    named = [(name, k) for k in params.k_range for name in params.models]
+    scores = silhouettes(assigned, [f"{name}_{k}" for name, k in named], params.silhouette_sample)
+    found = [(n, k, scores[f"{n}_{k}"].score, scores[f"{n}_{k}"].error) for n, k in named if f"{n}_{k}" in scores]
+    if not found:
         raise RuntimeError("no clustering gave two clusters")
-    frame = vectors.sparkSession.createDataFrame(
-        candidates, "model string, k int, silhouette double"
-    )
-    return frame.withColumn("silhouette", rounded(F.col("silhouette"))), best
+    name, k, score, _ = max(found, key=lambda c: c[2])
+    frame = points.sparkSession.createDataFrame(
+        found, "model string, k int, silhouette double, standard_error double"
+    ).withColumns({c: rounded(F.col(c)) for c in ("silhouette", "standard_error")})
+    best = assigned.select("customer_id", F.col(f"{name}_{k}").alias("cluster"))
+    return frame, (name, k, score, best)
 
 
 def _stack_scores(features: DataFrame) -> DataFrame:
@@ -217,8 +204,8 @@ def cluster_sizes(segments: DataFrame) -> DataFrame:
 def segment_customers(
     features: DataFrame, params: SegmentationParams = SegmentationParams()
 ) -> SegmentResult:
-    vectors = materialise(as_vectors(cluster_matrix(features, params), params))
-    candidates, (name, k, score, assigned) = segment_grid(vectors, params)
+    points = materialise(as_points(cluster_matrix(features, params), params))
+    candidates, (name, k, score, assigned) = segment_grid(points, params)
     rules = rfm_rule_segments(features, params)
     segments = materialise(
         name_clusters(assigned.select("customer_id", "cluster").join(rules, "customer_id"))

@@ -251,6 +251,10 @@ class SegmentationParams:
     k_range: tuple[int, ...] = (2, 3, 4, 5, 6, 7, 8)
     models: tuple[str, ...] = ("kmeans", "gmm", "hierarchical")
     kmeans_restarts: int = 10
+    gmm_max_iter: int = 100
+    gmm_tolerance: float = 1e-3
+    # Customers whose silhouette is measured against all; exact if there are no more.
+    silhouette_sample: int = 5000
     seed: int = 42
     high_return_threshold: float = 0.5
     new_customer_days: int = 180

@@ -6,10 +6,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tideline.operators import churn, explain, modelling, segmentation, value
-from tideline.plans import stages
+from tideline.operators import churn, clustering, explain, modelling, segmentation, value
+from tideline.params import CLUSTER_FEATURES
+from tideline.plans import stages, targeting  # noqa: F401 - targeting adds SQL blocks
 from tideline.plans.blocks import BLOCKS, NUMERIC_FEATURES
-from tideline.plans.registry import query
+from tideline.plans.registry import query, r4
 from tideline.session import new_path
 from tideline.sources import sinks
 from tideline.sources.star_schema import read_table
@@ -183,31 +184,57 @@ def modelled_chain_agrees(spark, sf_dir):
     ).select("n_customers", "last_rank", (F.abs(F.col("_risk") - risk) < 0.01).alias("same_risk"))
 
 
-def _vectors(spark, sf_dir):
+def points(spark, sf_dir):
     matrix = segmentation.cluster_matrix(stages.features(spark, sf_dir))
-    return stages.materialise(segmentation.as_vectors(matrix))
+    return stages.stage_table(spark, sf_dir, "points", lambda: segmentation.as_points(matrix))
 
 
 def _clusters(name: str):
     def build(spark, sf_dir):
-        vectors = _vectors(spark, sf_dir)
-        model = segmentation.FITTERS[name](vectors, 3, stages.SEGMENTS)
-        return segmentation.assign(model, vectors).drop("features")
+        found = segmentation.CLUSTERERS[name](points(spark, sf_dir), (3,), stages.SEGMENTS)
+        return found.select("customer_id", F.col(f"{name}_3").alias("cluster"))
 
     return build
 
 
-CLUSTERINGS = {name: query(name)(_clusters(name)) for name in ("kmeans", "gmm", "hierarchical")}
+CLUSTERINGS = {name: query(name)(_clusters(name)) for name in segmentation.CLUSTERERS}
 
 
-@query("silhouette")
+def _silhouette_sql(labels: str, cluster: str) -> str:
+    return f"""
+    SELECT '{labels}' AS labels, count(*) AS n_customers, {r4("avg(s) AS silhouette")} FROM (
+      SELECT id, CASE WHEN max(n) FILTER (own) = 1 THEN 0
+        ELSE (min(d / n) FILTER (NOT own) - max(d / (n - 1)) FILTER (own))
+          / greatest(min(d / n) FILTER (NOT own), max(d / (n - 1)) FILTER (own)) END AS s
+      FROM (
+        SELECT a.customer_id AS id, a.part = b.part AS own, count(*) AS n,
+          sum(sqrt({" + ".join(f"(a.{c} - b.{c}) ** 2" for c in CLUSTER_FEATURES)})) AS d
+        FROM (SELECT matrix.*, {cluster} AS part FROM matrix JOIN rule_segments USING (customer_id)) AS a,
+          (SELECT matrix.*, {cluster} AS part FROM matrix JOIN rule_segments USING (customer_id)) AS b
+        GROUP BY a.customer_id, b.part, a.part = b.part
+      ) GROUP BY id)"""
+
+
+@query(
+    "silhouette",
+    BLOCKS.sql(
+        _silhouette_sql("frequency", "rule_segments.cluster")
+        + " UNION ALL "
+        + _silhouette_sql("rule", "rule_segment"),
+        "matrix",
+        "rule_segments",
+    ),
+)
 def silhouette(spark, sf_dir):
-    vectors = _vectors(spark, sf_dir)
-    model = segmentation.fit_kmeans(vectors, 3, stages.SEGMENTS)
-    score = segmentation.silhouette(segmentation.assign(model, vectors))
-    return vectors.agg(
-        F.count(F.lit(1)).alias("n_customers"), F.lit(float(score)).alias("silhouette")
-    )
+    """Mean silhouette of two assignments that SQL can state: by order frequency and by rule."""
+    rules = stages.rule_segments(spark, sf_dir)
+    number = F.array_position(F.array(*[F.lit(n) for n in segmentation.RULE_NAMES]), F.col("rule_segment"))
+    labelled = rules.select("customer_id", F.col("cluster").alias("frequency"), number.cast("int").alias("rule"))
+    assigned = stages.materialise(points(spark, sf_dir).join(labelled, "customer_id"))
+    found = clustering.silhouettes(assigned, ["frequency", "rule"], stages.SEGMENTS.silhouette_sample)
+    rows = [(name, score.score) for name, score in found.items()]
+    scores = spark.createDataFrame(rows, "labels string, silhouette double")
+    return scores.crossJoin(assigned.agg(F.count(F.lit(1)).alias("n_customers")))
 
 
 @query("segment_grid")

@@ -36,30 +36,29 @@ def _cases(entries: dict[str, str], column: str, fallback: str = "NULL") -> str:
     return f"CASE {column} {parts} ELSE {fallback} END"
 
 
+BLOCKS.add(
+    "matrix",
+    "SELECT customer_id, "
+    + ", ".join(
+        f"(x_{c} - avg(x_{c}) OVER ()) / stddev_pop(x_{c}) OVER () AS {c}" for c in CLUSTER_FEATURES
+    )
+    + " FROM (SELECT customer_id, "
+    + ", ".join(f"coalesce(y_{c}, median(y_{c}) OVER ()) AS x_{c}" for c in CLUSTER_FEATURES)
+    + " FROM (SELECT customer_id, "
+    + ", ".join(
+        f"ln(1 + greatest(CAST({c} AS DOUBLE), 0)) AS y_{c}"
+        if c in LOG_FEATURES
+        else f"CAST({c} AS DOUBLE) AS y_{c}"
+        for c in CLUSTER_FEATURES
+    )
+    + " FROM features))",
+    ["features"],
+)
+
+
 @query(
     "cluster_matrix",
-    BLOCKS.sql(
-        "SELECT customer_id, "
-        + r4(
-            *[
-                f"(x_{c} - avg(x_{c}) OVER ()) / stddev_pop(x_{c}) OVER () AS {c}"
-                for c in CLUSTER_FEATURES
-            ]
-        )
-        + " FROM (SELECT customer_id, "
-        + ", ".join(
-            f"coalesce(y_{c}, median(y_{c}) OVER ()) AS x_{c}" for c in CLUSTER_FEATURES
-        )
-        + " FROM (SELECT customer_id, "
-        + ", ".join(
-            f"ln(1 + greatest(CAST({c} AS DOUBLE), 0)) AS y_{c}"
-            if c in LOG_FEATURES
-            else f"CAST({c} AS DOUBLE) AS y_{c}"
-            for c in CLUSTER_FEATURES
-        )
-        + " FROM features))",
-        "features",
-    ),
+    BLOCKS.sql("SELECT customer_id, " + r4(*CLUSTER_FEATURES) + " FROM matrix", "matrix"),
 )
 def cluster_matrix(spark, sf_dir):
     return segmentation.cluster_matrix(stages.features(spark, sf_dir))
