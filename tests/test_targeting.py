@@ -381,3 +381,14 @@ def test_views(spark):
     assert by_segment[0] == {"segment_name": "Champions", "revenue_at_risk": 550.0}
     mix = collected(views.priority_mix(found, 3))
     assert [r["segment_name"] for r in mix] == ["Champions", "Unknown"]
+
+
+def test_contributions_in_groups_of_trees(panel, monkeypatch):
+    df, _ = panel
+    model = _fit(panel, RandomForestClassifier(labelCol="churn", numTrees=5, maxDepth=4, seed=3))
+    whole = {r["customer_id"]: r["shap"] for r in explain.tree_shap(model, df).collect()}
+    monkeypatch.setattr(explain, "GROUP_NODES", 40)
+    assert len(list(explain.tree_groups(modelling.fitted_model(model)))) > 1
+    for row in explain.tree_shap(model, df).collect():
+        assert np.allclose(row["shap"], whole[row["customer_id"]], atol=1e-12)
+    assert explain._groups([(0, 30), (1, 10), (2, 1), (3, 90), (4, 5)]) == [(0, 1), (2, 2), (3, 3), (4, 4)]

@@ -113,6 +113,20 @@ def global_rank(
     return ranked.select(*df.columns, (F.col("_carry") + position + 1).alias(name))
 
 
+def last_known(df: DataFrame, order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """Add ``name``: the last ``value`` that is not null, up to each row in ``order``."""
+    laid = lay_out(df, order)
+    upto = W.partitionBy(_BLOCK).orderBy(_SEQ).rowsBetween(W.unboundedPreceding, 0)
+    local = laid.withColumn("_local", F.last(value, ignorenulls=True).over(upto))
+    ends = laid.filter(F.col(value).isNotNull()).groupBy(_BLOCK).agg(F.max_by(value, _SEQ).alias("_end"))
+    # One row per block: every block, also those without a value.
+    blocks = laid.select(_BLOCK).distinct().join(ends, _BLOCK, "left")
+    earlier = W.orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    carried = blocks.select(_BLOCK, F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
+    joined = _join_carried(local, carried, [_BLOCK])
+    return joined.select(*df.columns, F.coalesce("_local", "_carry").alias(name))
+
+
 def quantiles(
     df: DataFrame,
     value: str,

@@ -13,7 +13,6 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +24,7 @@ from tideline.functions.metrics import (
     top_fraction_capture,
 )
 from tideline.functions.scalars import rounded
+from tideline.operators.calibration import calibrated, isotonic_pools
 from tideline.operators.modelling import (
     FeatureColumns,
     feature_importance,
@@ -153,10 +153,8 @@ def select_model(metrics: DataFrame, order: tuple[str, ...]) -> str:
 def calibrator(validation: DataFrame, method: str = "isotonic"):
     """Fit a map from raw to calibrated probability; returns frame -> frame."""
     if method == "isotonic":
-        model = IsotonicRegression(
-            featuresCol=RAW, labelCol="y_true", predictionCol=CALIBRATED
-        ).fit(validation.select(RAW, F.col("y_true").cast("double").alias("y_true")))
-        return model.transform
+        pools = materialise(isotonic_pools(validation, RAW, "y_true"))
+        return lambda df: calibrated(df, RAW, pools, CALIBRATED)
     if method == "sigmoid":
         vector = VectorAssembler(inputCols=[RAW], outputCol="_raw_vector")
         model = LogisticRegression(

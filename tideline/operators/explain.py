@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,16 +17,16 @@ from pyspark.sql import functions as F
 from tideline.functions.scalars import rounded
 from tideline.operators.modelling import FeatureColumns, fitted_model, vector_names
 from tideline.params import ExplainParams
-from tideline.session import new_path
+from tideline.session import materialise, new_path
 
 SHAP = "shap"
 INTERPRETATION_NOTE = (
     "Contributions describe what moves the model's score; they are associations, not causes."
 )
 ROWS_PER_BLOCK = 4096
-#: Largest ensemble that is sent to the tasks, in nodes: 40 MB. Parameters set the size of a
-#: model, not the data; this is checked before it is broadcast.
-MOST_NODES = 1_000_000
+#: Nodes of the trees that are sent to the tasks at a time (40 MB), or one tree if it has more.
+#: Larger ensembles take several passes over the rows.
+GROUP_NODES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -74,21 +74,44 @@ def _tree(nodes: dict, value_of, cover_of) -> Tree:
     return Tree(left, right, feature, above, upto, share, value)
 
 
-def read_trees(model) -> list[Tree]:
+def _groups(sizes: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """First and last tree of groups of neighbours with at most ``GROUP_NODES`` nodes."""
+    out: list[tuple[int, int]] = []
+    room = 0
+    for tree, nodes in sizes:
+        if out and nodes <= room:
+            out[-1] = (out[-1][0], tree)
+            room -= nodes
+        else:
+            out.append((tree, tree))
+            room = GROUP_NODES - nodes
+    return out
+
+
+def tree_groups(model) -> Iterator[list[Tree]]:
     """The trees of a fitted forest or boosted ensemble, read back from its saved form.
 
     Forest leaves hold the positive share, so contributions add up to the
-    probability; boosted leaves add up to the margin.
+    probability; boosted leaves add up to the margin. The driver holds one group at a time.
     """
-    if model.totalNumNodes > MOST_NODES:
-        raise ValueError(f"an ensemble of {model.totalNumNodes} nodes is too large to explain")
     spark = SparkSession.active()
     path = new_path(spark, "trees")
     model.write().overwrite().save(path)
-    trees: dict[int, dict] = {}
-    # At most MOST_NODES rows.
-    for row in spark.read.parquet(f"{path}/data").collect():
-        trees.setdefault(row["treeID"], {})[row["nodeData"]["id"]] = row["nodeData"]
+    data = spark.read.parquet(f"{path}/data")
+    sizes = sorted(tuple(r) for r in data.groupBy("treeID").count().collect())
+    for first, last in _groups(sizes):
+        trees: dict[int, dict] = {}
+        for row in data.filter(F.col("treeID").between(first, last)).collect():
+            trees.setdefault(row["treeID"], {})[row["nodeData"]["id"]] = row["nodeData"]
+        yield _flat(model, trees, len(sizes))
+
+
+def read_trees(model) -> list[Tree]:
+    """All trees at once."""
+    return [tree for group in tree_groups(model) for tree in group]
+
+
+def _flat(model, trees: dict[int, dict], number_of_trees: int) -> list[Tree]:
     weights = list(model.treeWeights)
     forest = type(model).__name__.startswith("RandomForest")
     found = []
@@ -96,7 +119,7 @@ def read_trees(model) -> list[Tree]:
         if forest:
             def value_of(node):
                 stats = node["impurityStats"]
-                return stats[1] / sum(stats) / len(trees)
+                return stats[1] / sum(stats) / number_of_trees
 
             def cover_of(node):
                 return sum(node["impurityStats"])
@@ -167,7 +190,7 @@ def forest_contributions(trees: Sequence[Tree], rows: np.ndarray) -> np.ndarray:
     return result
 
 
-def base_value(trees: Sequence[Tree]) -> float:
+def base_value(trees: Iterable[Tree]) -> float:
     """The mean score of the training rows."""
 
     def mean(tree: Tree, node: int) -> float:
@@ -186,24 +209,40 @@ def _vectors(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFr
 def tree_shap(
     model: PipelineModel, df: DataFrame, keep: Sequence[str] = ("customer_id", "cohort_date")
 ) -> DataFrame:
-    """Contributions of every vector entry, as an array column, row by row without a shuffle."""
+    """Contributions of every vector entry, as an array column, row by row without a shuffle.
+
+    Contributions of trees add up, so an ensemble of any size is taken group by group; what the
+    groups before gave is written between two passes.
+    """
     vectors = _vectors(model, df, keep)
     predictor = fitted_model(model)
     if not hasattr(predictor, "treeWeights"):
         return _linear_shap(predictor, vectors, keep)
-    shared = df.sparkSession.sparkContext.broadcast(read_trees(predictor))
-    plain = vectors.select(*keep, vector_to_array("features").alias("x"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema if f.name in keep)
+    x = vector_to_array("features")
+    done = vectors.select(*keep, x.alias("x"), F.array_repeat(F.lit(0.0), F.size(x)).alias(SHAP))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in done.schema)
+    shared = None
+    for group in tree_groups(predictor):
+        if shared is not None:
+            done = materialise(done)
+            shared.destroy()
+        shared = df.sparkSession.sparkContext.broadcast(group)
+        done = done.mapInPandas(_attributed(shared), fields)
+    return done.drop("x")
+
+
+def _attributed(shared):
+    """Adds the contributions of the broadcast trees to ``shap``."""
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), ROWS_PER_BLOCK):
                 part = batch.iloc[start : start + ROWS_PER_BLOCK]
                 rows = np.stack(part["x"].to_numpy())
-                shap = forest_contributions(shared.value, rows)
-                yield part[list(keep)].assign(**{SHAP: list(shap)})
+                shap = np.stack(part[SHAP].to_numpy()) + forest_contributions(shared.value, rows)
+                yield part.assign(**{SHAP: list(shap)})
 
-    return plain.mapInPandas(attribute, f"{fields}, {SHAP} array<double>")
+    return attribute
 
 
 def _linear_shap(predictor, vectors: DataFrame, keep: Sequence[str]) -> DataFrame:

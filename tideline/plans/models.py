@@ -290,7 +290,7 @@ def tree_shap(spark, sf_dir):
 def tree_shap_adds_up(spark, sf_dir):
     """Whether base plus contributions is the forest's probability, for each customer."""
     model, _, shap = _forest(spark, sf_dir)
-    base = explain.base_value(explain.read_trees(modelling.fitted_model(model)))
+    base = sum(explain.base_value(group) for group in explain.tree_groups(modelling.fitted_model(model)))
     test = stages.split(spark, sf_dir, stages.COHORTS.test_cohorts)
     total = F.aggregate("shap", F.lit(base), lambda s, x: s + x)
     return (

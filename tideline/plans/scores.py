@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tideline.functions import metrics
 from tideline.functions.metrics import CALIBRATION_EDGES, F1_THRESHOLDS
-from tideline.operators import churn, modelling, survival, value
+from tideline.operators import calibration, churn, modelling, survival, value
+from tideline.operators.features import temporal_split
 from tideline.plans import stages
 from tideline.plans.blocks import BLOCKS, NUMERIC_FEATURES
 from tideline.plans.registry import query, r4, when
@@ -123,6 +124,47 @@ def class_balance(spark, sf_dir):
     return modelling.class_balance(stages.panel(spark, sf_dir), "churn")
 
 
+BLOCKS.add(
+    "distinct_scores",
+    f"""SELECT *, row_number() OVER (ORDER BY s) AS i, sum(n) OVER (ORDER BY s) AS n_upto,
+      sum(y) OVER (ORDER BY s) AS y_upto
+    FROM (SELECT churn_probability AS s, count(*) AS n, sum(churn) AS y FROM scored
+          WHERE cohort_date = TIMESTAMP '{stages.COHORTS.validation_cohorts[0]}' GROUP BY churn_probability)""",
+    ["scored"],
+)
+BLOCKS.add(
+    "isotonic",
+    """SELECT b AS i, max(least_after) AS fit FROM (
+      SELECT x.i AS a, z.i AS b, min((z.y_upto - x.y_upto + x.y) / (z.n_upto - x.n_upto + x.n)::DOUBLE)
+        OVER (PARTITION BY x.i ORDER BY z.i DESC) AS least_after
+      FROM distinct_scores AS x JOIN distinct_scores AS z ON x.i <= z.i) GROUP BY b""",
+    ["distinct_scores"],
+)
+
+
+@query(
+    "calibrate_isotonic",
+    BLOCKS.sql(
+        f"""SELECT customer_id, {r4("raw", "coalesce(lo.fit + CASE WHEN hi.s > lo.s "
+            "THEN (raw - lo.s) / (hi.s - lo.s) * (hi.fit - lo.fit) ELSE 0 END, lo.fit, hi.fit) AS calibrated")}
+        FROM (SELECT customer_id, churn_probability AS raw, (SELECT max(s) FROM distinct_scores WHERE s <= churn_probability) AS below,
+                (SELECT min(s) FROM distinct_scores WHERE s >= churn_probability) AS above FROM scored_test) AS t
+        LEFT JOIN (SELECT s, fit FROM distinct_scores JOIN isotonic USING (i)) AS lo ON lo.s = t.below
+        LEFT JOIN (SELECT s, fit FROM distinct_scores JOIN isotonic USING (i)) AS hi ON hi.s = t.above""",
+        "scored_test",
+        "isotonic",
+    ),
+)
+def calibrate_isotonic(spark, sf_dir):
+    """Scores by the plain formula, calibrated on the validation cohort: the max-min formula in SQL."""
+    known = stages.scored(spark, sf_dir)
+    pools = stages.materialise(
+        calibration.isotonic_pools(temporal_split(known, stages.COHORTS.validation_cohorts), PROB, LABEL)
+    )
+    test = stages.scored_test(spark, sf_dir).select("customer_id", F.col(PROB).alias("raw"))
+    return calibration.calibrated(test, "raw", pools, "calibrated")
+
+
 @query(
     "calibration_gate",
     BLOCKS.sql(
