@@ -10,7 +10,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 
 from tideline.operators import boosting
-from tideline.operators.boosting import BoostParams, Tree, TweedieBoost, boost, mean_deviance
+from tideline.operators import explain
+from tideline.operators.boosting import Boost, BoostParams, Tree, boost, mean_deviance
 from tideline.session import new_path
 
 
@@ -100,7 +101,7 @@ def test_better_than_a_linear_predictor_on_unseen_rows(spark):
     train, test = named(rows(3000, 2)), named(rows(2000, 3))
     params = json.dumps({"rounds": 60, "rate": 0.1, "depth": 3})
     vector = VectorAssembler(inputCols=cells, outputCol="features")
-    model = Pipeline(stages=[vector, TweedieBoost(labelCol="y", params_json=params)]).fit(train)
+    model = Pipeline(stages=[vector, Boost(labelCol="y", settings=params)]).fit(train)
     fitted = model.stages[-1]
     losses = fitted.fitted.losses
     assert all(b < a for a, b in zip(losses, losses[1:]))
@@ -126,3 +127,34 @@ def test_edges(spark):
     assert np.isfinite(nothing.margins(np.ones((1, 2)))).all()
     with pytest.raises(ValueError, match="no rows"):
         boost(spark.createDataFrame([], "x array<double>, y double"), "x", "y", EXACT)
+
+
+@pytest.mark.parametrize("loss", ["logistic", "squared"])
+def test_other_losses_with_weights_and_contributions(spark, loss):
+    x, value = rows(800, 5)
+    y = (value > np.median(value)).astype(float) if loss == "logistic" else value
+    data = [(i, *map(float, v), float(t), 1.0 + i % 3) for i, (v, t) in enumerate(zip(x, y))]
+    table = spark.createDataFrame(data, "customer_id long, c0 double, c1 double, c2 double, c3 double, y double, w double")
+    vector = VectorAssembler(inputCols=[f"c{i}" for i in range(4)], outputCol="features")
+    settings = json.dumps({"rounds": 30, "rate": 0.1, "depth": 3, "loss": loss})
+    model = Pipeline(stages=[vector, Boost(labelCol="y", settings=settings, weight="w")]).fit(table)
+    fitted = model.stages[-1].fitted
+    weight = np.array([d[-1] for d in data])
+    mean = np.average(y, weights=weight)
+    base = math.log(mean / (1 - mean)) if loss == "logistic" else mean
+    start = np.logaddexp(0, base) - y * base if loss == "logistic" else (y - base) ** 2 / 2
+    assert fitted.base == pytest.approx(base)
+    assert fitted.losses[0] == pytest.approx(np.average(start, weights=weight))
+    assert all(b < a for a, b in zip(fitted.losses, fitted.losses[1:]))
+    margins = fitted.margins(x)
+    out = {r.customer_id: r for r in model.transform(table).collect()}
+    for i in (0, 5, 99):
+        if loss == "logistic":
+            p = 1 / (1 + math.exp(-margins[i]))
+            assert out[i].probability[1] == pytest.approx(p) and out[i].prediction == float(p > 0.5)
+        else:
+            assert out[i].prediction == pytest.approx(margins[i])
+    # Contributions and the mean over the trees' own rows add up to the margin.
+    mean_value = explain.base_value(explain.read_trees(model.stages[-1]))
+    for r in explain.tree_shap(model, table, ["customer_id"]).collect():
+        assert fitted.base + mean_value + sum(r.shap) == pytest.approx(margins[r.customer_id])

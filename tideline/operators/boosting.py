@@ -1,10 +1,11 @@
-"""Newton boosting of regression trees on the Tweedie deviance.
+"""Newton boosting of regression trees on the Tweedie deviance, the logistic or the squared loss.
 
-With a log link and variance power p between 1 and 2, a row of value y and margin f has the loss
+With a log link and variance power p between 1 and 2, a row of value y and margin f has the
+Tweedie loss
 
     exp((2 - p) f) / (2 - p) - y exp((1 - p) f) / (1 - p)
 
-Each round fits a tree to its gradients g and curvatures h: a node's best split has the largest
+and the logistic loss log(1 + exp(f)) - y f with y of 0 or 1. Rows may have weights. Each round fits a tree to its gradients g and curvatures h: a node's best split has the largest
 sum of G * G / H over its two sides, and a leaf moves the margin by -rate * G / H.
 
 How it runs: features are binned once, by quantiles, and written as blocks of bytes beside the
@@ -31,10 +32,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,7 @@ class BoostParams:
     rate: float = 0.05
     depth: int = 5
     min_rows: int = 20
+    loss: str = "tweedie"
     row_share: float = 0.8
     feature_share: float = 0.8
     variance_power: float = 1.5
@@ -71,9 +73,14 @@ class Tree:
     left: list[int] = field(default_factory=lambda: [0])
     value: list[float] = field(default_factory=lambda: [0.0])
     gain: list[float] = field(default_factory=lambda: [0.0])
+    # Share of the drawn training rows of the parent; 1 at the root.
+    share: list[float] = field(default_factory=lambda: [1.0])
 
-    def split(self, node: int, feature: int, cut: int, gain: float, values: tuple[float, float]) -> tuple[int, int]:
+    def split(
+        self, node: int, feature: int, cut: int, gain: float, values: list[float], rows: list[float]
+    ) -> tuple[int, int]:
         self.feature[node], self.cut[node], self.left[node], self.gain[node] = feature, cut, len(self.value), gain
+        self.share += [n / sum(rows) for n in rows]
         for value in values:
             self.feature.append(-1)
             self.cut.append(0)
@@ -98,9 +105,14 @@ def leaves(tree: Tree, bins: np.ndarray, depth: int) -> np.ndarray:
     return node
 
 
-def deviance_parts(y: np.ndarray, margin: np.ndarray, power: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def loss_parts(params: BoostParams, y: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Loss, gradient and curvature of each row."""
-    f = np.clip(margin, -MAX_MARGIN, MAX_MARGIN)
+    if params.loss == "squared":
+        return (margin - y) ** 2 / 2, margin - y, np.ones(len(y))
+    f, power = np.clip(margin, -MAX_MARGIN, MAX_MARGIN), params.variance_power
+    if params.loss == "logistic":
+        p = 1 / (1 + np.exp(-f))
+        return np.logaddexp(0, f) - y * f, p - y, np.maximum(p * (1 - p), 1e-12)
     down, up = y * np.exp((1 - power) * f), np.exp((2 - power) * f)
     return up / (2 - power) - down / (1 - power), up - down, (2 - power) * up - (1 - power) * down
 
@@ -115,34 +127,49 @@ def cut_points(df: DataFrame, column: str, width: int, bins: int = BINS) -> list
     return [np.unique(np.array(found[f"q{i}"] or [], dtype=float)) for i in range(width)]
 
 
-_BLOCK = "bins binary, y binary, margin binary, n long"
+def starting_margin(params: BoostParams, mean: float) -> float:
+    """The margin whose prediction is the mean."""
+    if params.loss == "squared":
+        return mean
+    if params.loss == "logistic":
+        p = min(max(mean, 1e-12), 1 - 1e-12)
+        return math.log(p / (1 - p))
+    if params.loss == "tweedie":
+        return math.log(max(mean, 1e-12))
+    raise ValueError(f"unknown loss: {params.loss}")
+
+
+_BLOCK = "bins binary, y binary, w binary, margin binary, n long"
 
 
 def _blocks(cuts: list[np.ndarray], base: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def block() -> pa.RecordBatch:
         margin = np.full(sum(map(len, y)), base, dtype="<f8")
-        parts = [np.concatenate(bins, axis=1).tobytes(), np.concatenate(y).tobytes(), margin.tobytes()]
-        arrays = [*[pa.array([p], pa.binary()) for p in parts], pa.array([len(margin)])]
-        return pa.RecordBatch.from_arrays(arrays, ["bins", "y", "margin", "n"])
+        whole = [np.concatenate(bins, axis=1), np.concatenate(y), np.concatenate(w), margin]
+        arrays = [*[pa.array([p.tobytes()], pa.binary()) for p in whole], pa.array([len(margin)])]
+        return pa.RecordBatch.from_arrays(arrays, ["bins", "y", "w", "margin", "n"])
 
     bins: list[np.ndarray] = []
     y: list[np.ndarray] = []
+    w: list[np.ndarray] = []
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK_ROWS):
             part = batch.slice(at, BLOCK_ROWS)
             if y and sum(map(len, y)) + part.num_rows > BLOCK_ROWS:
                 yield block()
-                bins, y = [], []
+                bins, y, w = [], [], []
             values = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
             bins.append(np.stack([np.searchsorted(c, values[:, i]) for i, c in enumerate(cuts)]).astype(np.uint8))
-            y.append(part.column("y").to_numpy(zero_copy_only=False).astype("<f8"))
+            for column, out in (("y", y), ("w", w)):
+                out.append(part.column(column).to_numpy(zero_copy_only=False).astype("<f8"))
     if y:
         yield block()
 
 
-def _opened(row) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+def _opened(row) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     bins = np.frombuffer(row["bins"], dtype=np.uint8).reshape(-1, row["n"])
-    return row["block"], bins, np.frombuffer(row["y"], dtype="<f8"), np.frombuffer(row["margin"], dtype="<f8")
+    y, w, margin = (np.frombuffer(row[name], dtype="<f8") for name in ("y", "w", "margin"))
+    return row["block"], bins, y, w, margin
 
 
 def _moved(margin: np.ndarray, bins: np.ndarray, trees: list[Tree], depth: int) -> np.ndarray:
@@ -154,7 +181,7 @@ def _moved(margin: np.ndarray, bins: np.ndarray, trees: list[Tree], depth: int)
 def _refreshed(trees: list[Tree], depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            _, bins, _, margin = _opened(row)
+            _, bins, _, _, margin = _opened(row)
             row["margin"] = _moved(margin, bins, trees, depth).astype("<f8").tobytes()
             yield pa.RecordBatch.from_pylist([row], batch.schema)
 
@@ -177,9 +204,10 @@ def _sums(level: _Level, blocks: Iterator) -> Iterator[tuple[np.ndarray, float]]
     out, loss = np.zeros((3, len(level.nodes), len(level.features), BINS)), 0.0
     place = np.full(len(level.tree.value), -1)
     place[level.nodes] = np.arange(len(level.nodes))
-    for block, bins, y, margin in blocks:
-        cost, g, h = deviance_parts(y, _moved(margin, bins, level.trees, p.depth), p.variance_power)
-        loss += float(cost.sum())
+    for block, bins, y, w, margin in blocks:
+        cost, g, h = loss_parts(p, y, _moved(margin, bins, level.trees, p.depth))
+        loss += float((w * cost).sum())
+        g, h = w * g, w * h
         drawn = np.random.default_rng([p.seed, level.round, block]).random(len(y)) < p.row_share
         at = place[leaves(level.tree, bins, p.depth)]
         rows = np.flatnonzero(drawn & (at >= 0))
@@ -210,8 +238,9 @@ def _grow(level: _Level, sums: np.ndarray) -> list[int]:
         feature, cut = divmod(best, BINS)
         if gain[i, feature, cut] <= 1e-9:
             continue
-        sides = [-p.rate * s[0, i, feature, cut] / max(s[1, i, feature, cut], 1e-12) for s in (upto, rest)]
-        opened += level.tree.split(node, int(level.features[feature]), cut, float(gain[i, feature, cut]), tuple(sides))
+        g, h, rows = ([float(s[part, i, feature, cut]) for s in (upto, rest)] for part in range(3))
+        values = [-p.rate * x / max(y, 1e-12) for x, y in zip(g, h)]
+        opened += level.tree.split(node, int(level.features[feature]), cut, float(gain[i, feature, cut]), values, rows)
     return opened
 
 
@@ -235,21 +264,33 @@ def _rounds_of_one_block(
 ) -> Iterator[list[tuple[Tree, float]]]:
     """Rounds in the task that holds all rows."""
     out = []
-    for block, bins, y, margin in blocks:
+    for block, bins, y, w, margin in blocks:
         for at, chosen in enumerate(drawn, start):
-            found = _tree(at, chosen, [], params, lambda level, m=margin: next(_sums(level, iter([(block, bins, y, m)]))))
+            summed = lambda level, m=margin: next(_sums(level, iter([(block, bins, y, w, m)])))  # noqa: B023, E731
+            found = _tree(at, chosen, [], params, summed)
             margin = _moved(margin, bins, [found[0]], params.depth)
             out.append(found)
     yield out
 
 
-def boost(df: DataFrame, features: str, label: str, params: BoostParams) -> Boosted:
-    """Fit to the array column ``features`` and the column ``label``, which is not negative."""
-    rows = df.select(F.col(features).alias("x"), F.greatest(F.col(label).cast("double"), F.lit(0.0)).alias("y"))
-    first = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.max(F.size("x")).alias("width")).first()
+def boost(df: DataFrame, features: str, label: str, params: BoostParams, weight: str | None = None) -> Boosted:
+    """Fit to the array column ``features`` and the column ``label``; the Tweedie loss takes
+    negative values as 0."""
+    y = F.col(label).cast("double")
+    rows = df.select(
+        F.col(features).alias("x"),
+        (F.greatest(y, F.lit(0.0)) if params.loss == "tweedie" else y).alias("y"),
+        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
+    )
+    first = rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("w").alias("w"),
+        (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("mean"),
+        F.max(F.size("x")).alias("width"),
+    ).first()
     if not first["n"]:
         raise ValueError("no rows to fit")
-    width, base = first["width"], math.log(max(first["mean"], 1e-12))
+    width, base = first["width"], starting_margin(params, first["mean"])
     cuts = cut_points(rows, "x", width)
     tasks = max(1, -(-first["n"] // BLOCK_ROWS))
     cut = rows.coalesce(tasks).mapInArrow(partial(_blocks, cuts, base), _BLOCK)
@@ -273,11 +314,12 @@ def boost(df: DataFrame, features: str, label: str, params: BoostParams) -> Boos
                 found.append(_tree(at, chosen, [t for t, _ in found], params, summed))
         fresh = [t for t, _ in found]
         trees += fresh
-        losses += [loss / first["n"] for _, loss in found]
+        losses += [loss / first["w"] for _, loss in found]
         if start + REFRESH < params.rounds:
             table = materialise(table.mapInArrow(partial(_refreshed, fresh, params.depth), table.schema))
         opened.unpersist()
-    return Boosted(base, trees, cuts, losses, params.depth)
+    limits = (-math.inf, math.inf) if params.loss == "squared" else (-MAX_MARGIN, MAX_MARGIN)
+    return Boosted(base, trees, cuts, losses, params.depth, limits)
 
 
 @dataclass(frozen=True)
@@ -289,6 +331,8 @@ class Boosted:
     cuts: list[np.ndarray]
     losses: list[float]
     depth: int
+    # Margins of log and logistic links are held inside; those of means are not.
+    limits: tuple[float, float] = (-math.inf, math.inf)
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         bins = np.stack([np.searchsorted(c, x[:, i]) for i, c in enumerate(self.cuts)]).astype(np.uint8)
@@ -304,39 +348,47 @@ class Boosted:
         return out / out.sum() if out.sum() else out
 
     def to_json(self) -> str:
-        trees = [[t.feature, t.cut, t.left, t.value, t.gain] for t in self.trees]
-        return json.dumps([self.base, trees, [c.tolist() for c in self.cuts], self.losses, self.depth])
+        trees = [[t.feature, t.cut, t.left, t.value, t.gain, t.share] for t in self.trees]
+        return json.dumps([self.base, trees, [c.tolist() for c in self.cuts], self.losses, self.depth, self.limits])
 
     @staticmethod
     def from_json(text: str) -> Boosted:
-        base, trees, cuts, losses, depth = json.loads(text)
-        return Boosted(base, [Tree(*t) for t in trees], [np.array(c, dtype=float) for c in cuts], losses, depth)
+        base, trees, cuts, losses, depth, limits = json.loads(text)
+        cuts = [np.array(c, dtype=float) for c in cuts]
+        return Boosted(base, [Tree(*t) for t in trees], cuts, losses, depth, tuple(limits))
 
 
-class TweedieBoost(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Estimator over a vector column; predictions are positive."""
+class Boost(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Estimator over a vector column. ``settings`` are ``BoostParams`` as JSON; rows are weighted
+    by the column ``weight``, if it is named."""
 
-    params_json: Param[str] = Param(Params._dummy(), "params_json", "boosting parameters", TypeConverters.toString)
+    settings: Param[str] = Param(Params._dummy(), "settings", "boosting parameters", TypeConverters.toString)
+    weight: Param[str] = Param(Params._dummy(), "weight", "column of weights, or empty", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", params_json="{}"):
+    def __init__(self, *, featuresCol="features", labelCol="label", settings="{}", weight=""):
         super().__init__()
+        self._setDefault(settings="{}", weight="")
         self._set(**self._input_kwargs)
 
-    def _fit(self, dataset: DataFrame) -> TweedieBoostModel:
-        params = BoostParams(**json.loads(self.getOrDefault(self.params_json)))
-        rows = dataset.select(vector_to_array(self.getFeaturesCol()).alias("x"), F.col(self.getLabelCol()).alias("y"))
-        found = boost(rows, "x", "y", params)
-        return TweedieBoostModel(
-            featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(), ensemble=found.to_json()
-        )
+    def _fit(self, dataset: DataFrame) -> BoostModel:
+        params = BoostParams(**json.loads(self.getOrDefault(self.settings)))
+        weight = self.getOrDefault(self.weight)
+        weights = [F.col(weight).alias("w")] if weight else []
+        rows = dataset.select(vector_to_array(self.getFeaturesCol()).alias("x"), F.col(self.getLabelCol()).alias("y"), *weights)
+        found = boost(rows, "x", "y", params, "w" if weight else None)
+        return BoostModel(featuresCol=self.getFeaturesCol(), loss=params.loss, ensemble=found.to_json())
 
 
-class TweedieBoostModel(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
+class BoostModel(Model, HasFeaturesCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Adds ``prediction``: a positive mean (Tweedie), a mean (squared) or a class, the latter
+    beside ``probability``, a vector of both classes."""
+
+    loss: Param[str] = Param(Params._dummy(), "loss", "the loss", TypeConverters.toString)
     ensemble: Param[str] = Param(Params._dummy(), "ensemble", "the fitted trees", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, featuresCol="features", predictionCol="prediction", ensemble=None):
+    def __init__(self, *, featuresCol="features", loss="tweedie", ensemble=None):
         super().__init__()
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
@@ -356,13 +408,20 @@ class TweedieBoostModel(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsRe
         found = self.fitted
 
         @pandas_udf("double")
-        def predicted(rows: pd.Series) -> pd.Series:
+        def margin(rows: pd.Series) -> pd.Series:
             if not len(rows):
                 return pd.Series([], dtype=float)
-            margin = found.margins(np.vstack(rows.to_numpy()))
-            return pd.Series(np.exp(np.clip(margin, -MAX_MARGIN, MAX_MARGIN)))
-
-        return dataset.withColumn(self.getPredictionCol(), predicted(vector_to_array(self.getFeaturesCol())))
+            return pd.Series(np.clip(found.margins(np.vstack(rows.to_numpy())), *found.limits))
+
+        f = margin(vector_to_array(self.getFeaturesCol()))
+        loss = self.getOrDefault(self.loss)
+        if loss == "logistic":
+            p = F.col("_p")
+            both = dataset.withColumn("_p", 1 / (1 + F.exp(-f))).withColumns(
+                {"probability": array_to_vector(F.array(1 - p, p)), "prediction": (p > 0.5).cast("double")}
+            )
+            return both.drop("_p")
+        return dataset.withColumn("prediction", F.exp(f) if loss == "tweedie" else f)
 
 
 def mean_deviance(df: DataFrame, actual: str, predicted: str, power: float) -> float:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
 )
@@ -24,6 +24,7 @@ from tideline.functions.metrics import (
     top_fraction_capture,
 )
 from tideline.functions.scalars import rounded
+from tideline.operators.boosting import Boost, BoostParams
 from tideline.operators.calibration import calibrated, isotonic_pools
 from tideline.operators.modelling import (
     FeatureColumns,
@@ -91,15 +92,17 @@ def classifier(name: str, rows: int, params: ChurnParams):
             **common,
         )
     if name == "gradient_boosting":
-        return GBTClassifier(
-            maxIter=params.boosting_rounds,
-            stepSize=params.boosting_rate,
-            maxDepth=params.boosting_depth,
-            subsamplingRate=params.boosting_subsample,
-            featureSubsetStrategy=str(params.boosting_feature_share),
+        boosting = BoostParams(
+            rounds=params.boosting_rounds,
+            rate=params.boosting_rate,
+            depth=params.boosting_depth,
+            min_rows=params.boosting_min_rows,
+            loss="logistic",
+            row_share=params.boosting_subsample,
+            feature_share=params.boosting_feature_share,
             seed=params.seed,
-            **common,
         )
+        return Boost(labelCol=params.target, weight=WEIGHT, settings=json.dumps(asdict(boosting)))
     raise ValueError(f"unknown churn model: {name}")
 
 

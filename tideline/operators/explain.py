@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import rounded
+from tideline.operators.boosting import BoostModel
+from tideline.operators.boosting import Tree as NewtonTree
 from tideline.operators.modelling import FeatureColumns, fitted_model, vector_names
 from tideline.params import ExplainParams
 from tideline.session import materialise, new_path
@@ -94,6 +96,11 @@ def tree_groups(model) -> Iterator[list[Tree]]:
     Forest leaves hold the positive share, so contributions add up to the
     probability; boosted leaves add up to the margin. The driver holds one group at a time.
     """
+    if isinstance(model, BoostModel):
+        ensemble = model.fitted
+        for first, last in _groups([(i, len(t.value)) for i, t in enumerate(ensemble.trees)]):
+            yield [_newton_tree(tree, ensemble.cuts) for tree in ensemble.trees[first : last + 1]]
+        return
     spark = SparkSession.active()
     path = new_path(spark, "trees")
     model.write().overwrite().save(path)
@@ -106,6 +113,20 @@ def tree_groups(model) -> Iterator[list[Tree]]:
         yield _flat(model, trees, len(sizes))
 
 
+def _newton_tree(tree: NewtonTree, cuts: Sequence[np.ndarray]) -> Tree:
+    """A boosted tree with the values that its bins stand for."""
+    feature, cut, left, value = tree.arrays()
+    split = feature >= 0
+    above, upto = np.full(len(value), -np.inf), np.full(len(value), np.inf)
+    for node in np.flatnonzero(split):
+        # Bin b holds values above cut b - 1 up to cut b.
+        limit = float(cuts[feature[node]][cut[node]])
+        upto[left[node]], above[left[node] + 1] = limit, limit
+    down = np.where(split, left, -1)
+    leaf_value = np.where(split, 0.0, value)
+    return Tree(down, np.where(split, left + 1, -1), feature, above, upto, np.array(tree.share), leaf_value)
+
+
 def read_trees(model) -> list[Tree]:
     """All trees at once."""
     return [tree for group in tree_groups(model) for tree in group]
@@ -216,7 +237,7 @@ def tree_shap(
     """
     vectors = _vectors(model, df, keep)
     predictor = fitted_model(model)
-    if not hasattr(predictor, "treeWeights"):
+    if not isinstance(predictor, BoostModel) and not hasattr(predictor, "treeWeights"):
         return _linear_shap(predictor, vectors, keep)
     x = vector_to_array("features")
     done = vectors.select(*keep, x.alias("x"), F.array_repeat(F.lit(0.0), F.size(x)).alias(SHAP))

@@ -9,7 +9,6 @@ from functools import reduce
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.regression import (
-    GBTRegressor,
     GeneralizedLinearRegression,
     LinearRegression,
     RandomForestRegressor,
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from tideline.functions.metrics import regression_metrics, top_size
 from tideline.functions.ordering import running_totals
 from tideline.functions.scalars import clip, rounded, zero_if_undefined
-from tideline.operators.boosting import BoostParams, TweedieBoost
+from tideline.operators.boosting import Boost, BoostParams
 from tideline.operators.modelling import (
     FeatureColumns,
     feature_importance,
@@ -79,17 +78,7 @@ def regressor(name: str, rows: int, params: ValueParams):
             seed=params.seed,
             **common,
         )
-    if name == "gradient_boosting":
-        return GBTRegressor(
-            maxIter=params.boosting_rounds,
-            stepSize=params.boosting_rate,
-            maxDepth=params.boosting_depth,
-            subsamplingRate=params.boosting_subsample,
-            featureSubsetStrategy=str(params.boosting_feature_share),
-            seed=params.seed,
-            **common,
-        )
-    if name == "tweedie":
+    if name in ("tweedie", "gradient_boosting"):
         boosting = BoostParams(
             rounds=params.boosting_rounds,
             rate=params.boosting_rate,
@@ -97,10 +86,11 @@ def regressor(name: str, rows: int, params: ValueParams):
             min_rows=params.boosting_min_rows,
             row_share=params.boosting_subsample,
             feature_share=params.boosting_feature_share,
+            loss="tweedie" if name == "tweedie" else "squared",
             variance_power=params.tweedie_variance_power,
             seed=params.seed,
         )
-        return TweedieBoost(params_json=json.dumps(asdict(boosting)), **common)
+        return Boost(settings=json.dumps(asdict(boosting)), **common)
     if name == "tweedie_glm":
         return GeneralizedLinearRegression(
             family="tweedie",
