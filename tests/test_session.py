@@ -6,6 +6,7 @@ from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from tideline import session
 
@@ -33,3 +34,18 @@ def test_a_cluster_without_the_setting_is_an_error():
         session.ready(cluster)
         with pytest.raises(RuntimeError):
             session.shared_folder(cluster)
+
+
+def test_discard_removes_one_table(spark):
+    kept, gone = session.materialise(spark.range(3)), session.materialise(spark.range(5))
+    path = gone.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    assert Path(path).exists()
+    session.discard(gone)
+    assert not Path(path).exists() and kept.count() == 3
+
+
+def test_a_frame_can_be_written_and_read_again(spark):
+    """Shuffle files of a write are removed; the frame itself still works."""
+    grouped = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
+    assert session.materialise(grouped).count() == grouped.count() == len(grouped.collect()) == 7
+    assert spark.conf.get(session.CLEANUP) == "false"

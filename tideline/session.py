@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # By application: the folder named for it where the setting is unset, and what was written.
 _folders: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
+# By frame that ``materialise`` returned and that is still in use.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def local_session(
@@ -69,12 +73,32 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, keeps column pruning and filter pushdown for the readers,
-    and survives the loss of any executor.
+    and survives the loss of any executor. Shuffle files of the write go when it has ended:
+    nothing reads them again, and a chain of writes would pile them up.
     """
     spark = df.sparkSession
     path = new_path(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    _paths[found] = path
+    return found
+
+
+def discard(written: DataFrame) -> None:
+    """Remove a table that ``materialise`` returned; no frame may read it any more."""
+    path, spark = _paths.pop(written), written.sparkSession
+    _written[spark.sparkContext.applicationId].remove(path)
+    _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release(spark: SparkSession) -> int:
@@ -85,6 +109,5 @@ def release(spark: SparkSession) -> int:
     """
     paths = _written.pop(spark.sparkContext.applicationId, [])
     for path in paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _remove(spark, path)
     return len(paths)
