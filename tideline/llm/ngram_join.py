@@ -44,7 +44,7 @@ from tideline.llm.bits import bitmap, has
 from tideline.llm.graph import components, written
 from tideline.llm.registry import named, query, table
 from tideline.llm.rows import keep_rows
-from tideline.session import materialise
+from tideline.session import discard, materialise
 
 GROUPS = 64
 NODE = 64
@@ -475,8 +475,9 @@ def _component_rows(
         read.mapInPandas(_sketch(width, num, den), schema).withColumn("id", F.col("id").cast("long"))
     )
     number = sketches.count()
+    rows = written(sketches.select("id", "mark", "n", "k1", "k2", "needed"), number)
     classes = written(
-        sketches.filter("n > 0")
+        rows.filter("n > 0")
         .groupBy("k1", "k2")
         .agg(
             F.min("id").alias("rep"),
@@ -494,6 +495,7 @@ def _component_rows(
             .select("sig", "cid", "needed")
         )
     )
+    discard(sketches)
     hubs = members.groupBy("sig").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("size"))
     hubs = written(hubs.filter("size > 1"), members.count())
     near = members.join(hubs, "sig").select("a", F.col("cid").alias("b"))
@@ -512,7 +514,7 @@ def _component_rows(
     found = written(
         whole.join(least, "component").select("k1", "k2", "component", "component_id"), number
     )
-    rows = sketches.select("id", "mark", "n", "k1", "k2")
+    rows = rows.select("id", "mark", "n", "k1", "k2")
     alone = rows.filter("n = 0").select(
         "id", "mark", "n", F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id")
     )
