@@ -53,6 +53,14 @@ def money_sum(value: Column) -> Column:
     return F.sum(F.floor(value * MONEY_UNITS + 0.5)) / F.lit(float(MONEY_UNITS))
 
 
+def money_total(entries: str, name: str) -> Column:
+    """What ``money_sum`` gives for field ``name`` of an array of structs; null without values."""
+    known = F.filter(entries, lambda e: e[name].isNotNull())
+    units = lambda s, e: s + F.floor(e[name] * MONEY_UNITS + 0.5)
+    total = F.aggregate(known, F.lit(0).cast("long"), units) / F.lit(float(MONEY_UNITS))
+    return F.when(F.size(known) > 0, total)
+
+
 def count_if(condition: Column) -> Column:
     return F.count_if(condition)
 

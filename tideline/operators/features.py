@@ -24,6 +24,7 @@ from tideline.functions.scalars import (
     finite,
     fractional_days,
     money_sum,
+    money_total,
     safe_ratio,
 )
 from tideline.params import DAYS_PER_MONTH, TemporalParams
@@ -141,26 +142,63 @@ def invoice_rollup(
 
 
 def _per_cohort(rollup: DataFrame, cutoffs: Cutoffs, include_future: bool = False) -> DataFrame:
-    """Repeat each row for the cohorts that see it."""
+    """Repeat each row for the cohorts that see it; ``seen`` is the cohort's last slot."""
     edge = "until" if include_future else "seen"
     reached = F.filter(cutoffs.cohorts(), lambda c: F.col("slot") <= c[edge])
     return (
         rollup.withColumn("_cohort", F.explode(reached))
         .withColumn("cohort_date", F.col("_cohort.cohort_date"))
-        .withColumn("observed", F.col("slot") <= F.col("_cohort.seen"))
+        .withColumn("seen", F.col("_cohort.seen"))
+        .withColumn("observed", F.col("slot") <= F.col("seen"))
         .drop("_cohort")
     )
 
 
+PARTS = ("slot", "first_date", "revenue", "lines", "quantity")
+
+
+def orders_once(rollup: DataFrame) -> DataFrame:
+    """One row per purchase invoice, whatever the number of cohorts.
+
+    Lines of one invoice may lie in several slots, so it keeps what it has per slot: ``parts``,
+    hardly ever more than one. Rows of a customer are brought together (a customer with very many
+    over several tasks), so that aggregates by customer and cohort combine before they shuffle.
+    """
+    return (
+        rollup.filter(~F.col("is_cancellation"))
+        .groupBy("customer_id", "invoice_no")
+        .agg(F.collect_list(F.struct(*PARTS)).alias("parts"), F.min("slot").alias("slot"))
+        .hint("rebalance", "customer_id")
+    )
+
+
+def seen_orders(once: DataFrame, cutoffs: Cutoffs) -> DataFrame:
+    """Each invoice as each cohort sees it: a map over ``once`` that is never written."""
+    parts = F.filter("parts", lambda p: p["slot"] <= F.col("seen"))
+    kinds = {f.name: f.dataType for f in once.schema["parts"].dataType.elementType.fields}
+
+    def whole(name: str) -> Column:
+        known = F.filter("_parts", lambda p: p[name].isNotNull())
+        total = F.aggregate(known, F.lit(0).cast(kinds[name]), lambda s, p: s + p[name])
+        return F.when(F.size(known) > 0, total)
+
+    return (
+        _per_cohort(once, cutoffs)
+        .withColumn("_parts", parts)
+        .select(
+            *KEYS,
+            "invoice_no",
+            F.array_min(F.transform("_parts", lambda p: p["first_date"])).alias("order_date"),
+            money_total("_parts", "revenue").alias("order_revenue"),
+            whole("lines").alias("order_lines"),
+            whole("quantity").alias("order_quantity"),
+        )
+    )
+
+
 def order_rollup(rollup: DataFrame, cutoffs: Cutoffs) -> DataFrame:
     """One row per purchase invoice as each cohort sees it."""
-    seen = _per_cohort(rollup.filter(~F.col("is_cancellation")), cutoffs)
-    return seen.groupBy(*KEYS, "invoice_no").agg(
-        F.min("first_date").alias("order_date"),
-        money_sum(F.col("revenue")).alias("order_revenue"),
-        F.sum("lines").alias("order_lines"),
-        F.sum("quantity").alias("order_quantity"),
-    )
+    return seen_orders(orders_once(rollup), cutoffs)
 
 
 def _in_last(days: int) -> Column:
@@ -501,7 +539,7 @@ def assemble_features(
     params: TemporalParams = TemporalParams(),
 ) -> DataFrame:
     """Features per (cohort_date, customer_id); all joins share that key."""
-    orders = materialise(order_rollup(rollup, cutoffs))
+    orders = seen_orders(materialise(orders_once(rollup)), cutoffs)
     parts = [
         interval_stats(orders),
         median_order_value(orders),
