@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline import session
+from tideline.operators.modelling import side_by_side
 
 
 def test_written_tables_are_recorded_and_removed(spark):
@@ -49,3 +50,9 @@ def test_a_frame_can_be_written_and_read_again(spark):
     grouped = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
     assert session.materialise(grouped).count() == grouped.count() == len(grouped.collect()) == 7
     assert spark.conf.get(session.CLEANUP) == "false"
+
+
+def test_writes_side_by_side_leave_the_setting_as_it_was(spark):
+    frames = side_by_side({str(n): lambda n=n: session.materialise(spark.range(n)) for n in range(1, 7)})
+    assert {name: frame.count() for name, frame in frames.items()} == {str(n): n for n in range(1, 7)}
+    assert spark.conf.get(session.CLEANUP) == "false"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from threading import Lock
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,9 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _folders: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
 # By frame that ``materialise`` returned and that is still in use.
+_lock = Lock()
+# By application: threads that write, and the setting before the first of them.
+_inside: dict[str, tuple[int, str]] = {}
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -69,6 +74,25 @@ def new_path(spark: SparkSession, kind: str = "table") -> str:
     return path
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Remove shuffle files at the end of each query; as set before once no thread is inside."""
+    app = spark.sparkContext.applicationId
+    with _lock:
+        inside, before = _inside.get(app, (0, spark.conf.get(CLEANUP, "false")))
+        _inside[app] = (inside + 1, before)
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            inside, before = _inside.pop(app)
+            if inside > 1:
+                _inside[app] = (inside - 1, before)
+            else:
+                spark.conf.set(CLEANUP, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -78,12 +102,8 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _shuffles_removed(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     found = spark.read.schema(df.schema).parquet(path)
     _paths[found] = path
     return found
