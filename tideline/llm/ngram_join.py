@@ -23,7 +23,8 @@ How the work is spread:
 * In a region all are first compared with its most common class. Those that are linked to it are
   in one component already and are not compared with one another.
 * The rest of the tree: classes of a region, in order of size and counts, are cut into leaves
-  of bounded total size with an upper corner each; leaf pairs whose bound reaches are tasks.
+  of bounded total size with an upper corner each; leaf pairs whose bound reaches are work, and tiles
+  of them are tasks.
   Inside a task, nodes of ``NODE`` points have corners too. A task returns a spanning forest
   of the links it verified, never all pairs.
 """
@@ -51,6 +52,8 @@ NODE = 64
 #: Shingles in a leaf (or one class, if that is larger) and in a task.
 LEAF_SHINGLES = 400_000
 TASK_SHINGLES = 4_000_000
+#: Neighbouring leaves on either side of a tile of leaf pairs.
+TOGETHER = 5
 SIZE_STEP = 1.4
 #: One more part for each so many shingles by which similar sets may differ.
 MORE_PARTS = 10
@@ -351,14 +354,19 @@ def leaf_links(
 def _solve(num: int, den: int):
     def solved(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
-        for _, part in rows.groupby("pair", sort=True):
-            part = part.sort_values(["n", "cid"], kind="stable")
-            sets = [np.frombuffer(x, dtype=_U) for x in part["shingles"]]
-            counts = np.vstack(part["counts"].to_list())
-            cid = part["cid"].to_numpy()
-            found = leaf_links(
-                sets, counts, part["side"].to_numpy(), part["linked"].to_numpy(dtype=bool), num, den
-            )
+        rows = rows.sort_values(["n", "cid"], kind="stable")
+        every = [np.frombuffer(x, dtype=_U) for x in rows["shingles"]]
+        all_counts, all_cid = np.vstack(rows["counts"].to_list()), rows["cid"].to_numpy()
+        all_linked = rows["linked"].to_numpy(dtype=bool)
+        members: dict[int, list[tuple[int, int]]] = {}
+        for i, (pairs, sides) in enumerate(zip(rows["pairs"], rows["sides"])):
+            for pair, side in zip(pairs, sides):
+                members.setdefault(int(pair), []).append((i, int(side)))
+        for pair in sorted(members):
+            at = np.array([i for i, _ in members[pair]])
+            side = np.array([s for _, s in members[pair]])
+            cid = all_cid[at]
+            found = leaf_links([every[i] for i in at], all_counts[at], side, all_linked[at], num, den)
             a += [cid[i] for i, _ in found]
             b += [cid[j] for _, j in found]
         return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
@@ -437,24 +445,34 @@ def _region_links(points: DataFrame, num: int, den: int) -> DataFrame:
         .select(
             "x.region",
             F.monotonically_increasing_id().alias("pair"),
+            F.xxhash64(
+                "x.region", F.floor(F.col("x.leaf") / TOGETHER), F.floor(F.col("y.leaf") / TOGETHER), "x.linked", "y.linked"
+            ).alias("tile"),
             F.array(
                 F.struct(F.col("x.linked").alias("linked"), F.col("x.leaf").alias("leaf"), F.lit(1).alias("side")),
                 F.struct(F.col("y.linked").alias("linked"), F.col("y.leaf").alias("leaf"), F.lit(2).alias("side")),
             ).alias("ends"),
         )
-        .select("region", "pair", F.explode("ends").alias("end"))
-        .groupBy("region", "pair", F.col("end.linked").alias("linked"), F.col("end.leaf").alias("leaf"))
+        .select("region", "pair", "tile", F.explode("ends").alias("end"))
+        .groupBy("region", "pair", "tile", F.col("end.linked").alias("linked"), F.col("end.leaf").alias("leaf"))
         .agg(F.sum("end.side").cast("int").alias("side")),
         number,
     )
     where = leaves.select("cid", "region", "linked", "leaf", "n").join(pairs, ["region", "linked", "leaf"])
-    where = written(where.select("cid", "pair", "side", "linked", "n"), number)
+    # Leaf pairs of a tile are one piece of work, to which a point is sent once.
+    where = where.groupBy("tile", "cid").agg(
+        F.first("linked").alias("linked"),
+        F.first("n").alias("n"),
+        F.collect_list(F.struct("pair", "side")).alias("ends"),
+    )
+    ends = [F.col(f"ends.{name}").alias(f"{name}s") for name in ("pair", "side")]
+    where = written(where.select("tile", "cid", "linked", "n", *ends), number)
     total = where.agg(F.sum("n")).first()[0] or 0
     work = points.join(where.drop("n"), "cid")
     tasks = max(1, -(-total // TASK_SHINGLES))
     inside = (
-        work.withColumn("task", F.pmod(F.xxhash64("pair"), F.lit(tasks)))
-        .select("task", "pair", "side", "linked", "cid", "n", "shingles", "counts")
+        work.withColumn("task", F.pmod("tile", F.lit(tasks)))
+        .select("task", "pairs", "sides", "linked", "cid", "n", "shingles", "counts")
         .groupBy("task")
         .applyInPandas(_solve(num, den), "a long, b long")
     )
