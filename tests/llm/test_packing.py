@@ -15,9 +15,7 @@ pytest.importorskip("public_tokenizers")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = tokenizers.Tokenizer.from_file(packing.vocabulary_path())
-    found.encode_special_tokens = True
-    return found
+    return tokenizers.Tokenizer.from_file(packing.vocabulary_path())
 
 
 def odd_texts():
@@ -35,6 +33,14 @@ def test_remembered_words_give_the_tokenizers_ids(tokenizer):
         assert found == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_special_strings_have_the_tokenizers_ids(tokenizer):
+    special = tokenizer.token_to_id("<|endoftext|>")
+    encoder = packing.WordCachedEncoder(packing.vocabulary_path())
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y"):
+        ids = np.frombuffer(encoder.encode(text), dtype="<u4").tolist()
+        assert special in ids and ids == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_groups_fill_their_sequences():
     rng = random.Random(2)
     for _ in range(60):

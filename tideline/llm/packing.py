@@ -106,12 +106,16 @@ class WordCachedEncoder:
 
     The pattern of such a file never joins the two sides of a single space between two other
     characters, so a text is cut before such spaces and each cut is encoded by itself once.
-    Strings of special tokens in a text are ordinary text.
+    A text that holds the string of a special token is left to the library, which gives its id.
     """
 
     def __init__(self, path: str, known: int = KNOWN_PIECES):
+        from tokenizers import Tokenizer
+
         self.known = known
         self.ids = _Known(path)
+        self.library = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     @staticmethod
     def cuts(text: str) -> list[str]:
@@ -131,6 +135,9 @@ class WordCachedEncoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of ``text``."""
+        if any(string in text for string in self.special):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         if len(self.ids) > self.known:
             self.ids.clear()
         parts = self.cuts(text)
