@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from tideline.llm import pages
@@ -55,6 +57,22 @@ def test_repeated_rows_extra_columns_and_empty(spark, tree):
     assert pages.extract(frame.limit(0), model=tree).count() == 0
 
 
+@pytest.mark.parametrize("closing", ["</i>", "</u>", "<hr>", "</li>"])
+def test_work_grows_with_the_page(closing):
+    """Tags that close nothing do not search the whole stack."""
+    page = '<i class="y"><div>' + f"<span class=x>{closing}" * 20_000 + "<p>the end of it</p>"
+    started = time.perf_counter()
+    assert pages.flat_blocks(page)[-1]["text"] == "the end of it"
+    assert time.perf_counter() - started < 5
+
+
+def test_closing_tags_close_what_is_open():
+    nested = "<div class=menu><p>a</p></div>b<p>c<div>d</div><ul><li>e<li>f</ul><div>g</i></p>h<b class=menu>i</div>j"
+    assert [(b["text"], b["furniture"]) for b in pages.flat_blocks(nested)] == [
+        ("a", 1.0), ("b", 0.0), ("c", 0.0), ("d", 0.0), ("e", 0.0), ("f", 0.0), ("g", 0.0), ("h", 0.0), ("i", 1.0), ("j", 0.0),
+    ]
+
+
 def test_features_of_neighbours():
     blocks = pages.flat_blocks("<p>one two</p><p><a>three</a> four</p><p>five</p>")
     assert [b["words"] for b in blocks] == [2, 2, 1]

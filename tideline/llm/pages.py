@@ -118,6 +118,22 @@ def flat_blocks(page: str | None) -> list[dict]:
     text: list[str] = []
     linked = 0
     links = 0
+    # Where each tag and where blocks stand on the stack: a closing tag finds its place at once.
+    opened: dict[str, list[int]] = {}
+    walls: list[int] = []
+
+    def push(context: _Context) -> None:
+        opened.setdefault(context.tag, []).append(len(stack))
+        if context.tag in BLOCK:
+            walls.append(len(stack))
+        stack.append(context)
+
+    def cut(depth: int) -> None:
+        while len(stack) > depth:
+            gone = stack.pop().tag
+            opened[gone].pop()
+            if gone in BLOCK:
+                walls.pop()
 
     def flush() -> None:
         nonlocal linked
@@ -164,32 +180,25 @@ def flat_blocks(page: str | None) -> list[dict]:
                 links = max(0, links - 1)
             if tag in BLOCK:
                 flush()
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    if stack[depth].furniture and not stack[depth - 1].furniture:
-                        flush()
-                    del stack[depth:]
-                    break
-                # A closing inline tag does not close the blocks around it.
-                if tag not in BLOCK and stack[depth].tag in BLOCK:
-                    break
+            places = opened.get(tag)
+            # A closing inline tag does not close the blocks around it.
+            if places and (tag in BLOCK or not walls or walls[-1] < places[-1]):
+                depth = places[-1]
+                if stack[depth].furniture and not stack[depth - 1].furniture:
+                    flush()
+                cut(depth)
             continue
         attributes = m.group(k + 1)
         if tag in BLOCK:
             flush()
             if len(stack) > 1 and stack[-1].tag == "head":
-                del stack[-1]  # a head that is never closed ends at the first block
-            if tag in _CLOSES_P:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag == "p":
-                        del stack[depth:]
-                        break
-                    if stack[depth].tag in BLOCK:
-                        break
+                cut(len(stack) - 1)  # a head that is never closed ends at the first block
+            if tag in _CLOSES_P and walls and stack[walls[-1]].tag == "p":
+                cut(walls[-1])
             if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
                 # The same kind of item closes the one before it.
                 if stack[-1].tag == tag:
-                    del stack[-1]
+                    cut(len(stack) - 1)
             links = 0 if tag in _CLOSES_P else links
         if tag in VOID or attributes.endswith("/"):
             continue
@@ -203,7 +212,7 @@ def flat_blocks(page: str | None) -> list[dict]:
         if tag in BLOCK or tag in SILENT or "class" in attributes or "id" in attributes or "role" in attributes:
             if tag not in BLOCK and tag not in SILENT and _says_furniture(_attributes(attributes)):
                 flush()
-            stack.append(_inside(stack[-1], tag, _attributes(attributes) if attributes else {}))
+            push(_inside(stack[-1], tag, _attributes(attributes) if attributes else {}))
     flush()
     for i, b in enumerate(blocks):
         before = blocks[i - 1] if i else None
