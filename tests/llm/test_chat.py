@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-import pytest
-
 from tests.llm.brute import sha
 from tideline.llm import chat
 
@@ -62,7 +60,26 @@ def test_nulls_ties_and_empty(spark):
     assert told(chat.threads(spark.createDataFrame([], schema))) == []
 
 
-def test_cycle_is_an_error(spark):
-    rows = [(1, 1, 2, "user", "a", 0.0), (1, 2, 1, "user", "b", 0.0), (1, 3, 1, "user", "c", 0.0)]
-    with pytest.raises(ValueError):
-        chat.root_to_leaf(spark.createDataFrame(rows, NODE))
+def test_cycles_do_not_harm_other_paths(spark):
+    """A cycle, a leaf below it, a node that is its own parent; good paths beside them."""
+    cyclic = [(1, 1, 2), (1, 2, 1), (1, 3, 1), (1, 4, 3), (3, 9, 9)]
+    good = [(1, 10, None), (1, 11, 10), (2, 1, None), (2, 2, 1), (2, 3, 2), (4, 1, None)]
+    rows = [(t, n, p, "user", f"{t}-{n}", 0.0) for t, n, p in cyclic + good]
+    frame = spark.createDataFrame(rows, NODE)
+    found = {(r.tree, r.leaf): r.texts for r in told(frame)}
+    assert found == {(1, 11): ["1-10", "1-11"], (2, 3): ["2-1", "2-2", "2-3"], (4, 1): ["4-1"]}
+    assert sorted(map(tuple, chat.rootless(frame).collect())) == [c[:2] for c in cyclic]
+
+
+def test_repeated_nodes_count_once_and_rows_without_id_are_left_out(spark):
+    rows = [
+        (1, 1, None, "user", "q", 0.0),
+        (1, 2, 1, "assistant", "b", 1.0),
+        (1, 2, 1, "assistant", "b", 1.0),
+        (1, 2, 1, "assistant", "a", 1.0),
+        (1, None, 1, "assistant", "no id", 1.0),
+        (None, 5, None, "user", "x", None),
+        (None, 5, None, "user", "x", None),
+    ]
+    found = {(r.tree, r.leaf): (r.n_turns, r.texts) for r in told(spark.createDataFrame(rows, NODE))}
+    assert found == {(1, 2): (2, ["q", "a"]), (None, 5): (1, ["x"])}

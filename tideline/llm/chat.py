@@ -35,17 +35,58 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def one_per_node(nodes: DataFrame) -> DataFrame:
+    """``nodes`` without those that have no id, and one row for each (tree, node).
+
+    Of rows with the same tree and node the first by parent (null first), role, text and score
+    stands. Only if there are such rows are they brought together; ids alone tell.
+    """
+    nodes = nodes.filter(F.col("node").isNotNull())
+    counted = nodes.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = materialise(counted.select(F.col("tree").alias("_tree"), F.col("node").alias("_node")))
+    if again.isEmpty():
+        return nodes
+    same = [F.col("tree").eqNullSafe(F.col("_tree")), F.col("node") == F.col("_node")]
+    order = ("parent", "role", "text", "score")
+    # A minimum combines map-side, so a node that is repeated often is not gathered anywhere.
+    firsts = (
+        nodes.join(again, same, "left_semi")
+        .groupBy("tree", "node")
+        .agg(F.min(F.struct(*order)).alias("first"))
+        .select("tree", "node", *[F.col(f"first.{c}").alias(c) for c in order])
+    )
+    return nodes.join(again, same, "left_anti").select("tree", "node", *order).unionByName(firsts)
+
+
 def root_to_leaf(nodes: DataFrame) -> DataFrame:
     """All nodes above each leaf, itself included: ``tree``, ``leaf``, ``up`` (distance), ``node``.
 
-    ``nodes`` has ``tree``, ``node`` (unique in its tree) and ``parent``. A parent that is null
-    or missing makes a root. A cycle has no leaf; a leaf cannot hang below one, as a node has
-    one parent and a path into a cycle never ends: this raises ValueError.
+    ``nodes`` has ``tree``, ``node`` (not null, unique in its tree) and ``parent``. A parent that
+    is null or missing makes a root. Nodes on a cycle or below one have no root and are left out
+    (``rootless`` returns them); other paths, also of the same tree, are not touched.
+    """
+    return _climb(nodes)[0]
+
+
+def rootless(nodes: DataFrame) -> DataFrame:
+    """The nodes that stand on a cycle of parents or below one: ``tree``, ``node``."""
+    return _climb(nodes)[1]
+
+
+def _climb(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Paths of leaves below a root, and the nodes whose parents never end.
+
+    A path in a tree of n nodes has at most n - 1 steps, so a pointer of that reach or more
+    stands on an endless one, and is followed no further.
     """
     known = nodes.select("tree", F.col("node").alias("parent"))
+    room = materialise(nodes.groupBy(F.col("tree").alias("of")).agg(F.count(F.lit(1)).alias("room")))
     up = nodes.filter(F.col("parent").isNotNull()).select("tree", "node", "parent")
     same = [F.col("a.tree").eqNullSafe(F.col("b.tree")), F.col("a.parent") == F.col("b.parent")]
-    jumps = materialise(up.alias("a").join(known.alias("b"), same, "left_semi"))
+    linked = up.alias("a").join(known.alias("b"), same, "left_semi")
+    jumps = materialise(
+        linked.join(room, F.col("tree").eqNullSafe(F.col("of"))).select("tree", "node", "parent", "room")
+    )
     leaves = (
         nodes.alias("a")
         .join(
@@ -56,10 +97,10 @@ def root_to_leaf(nodes: DataFrame) -> DataFrame:
         .select("tree", F.col("node").alias("leaf"), F.lit(0).cast("long").alias("up"), "node")
     )
     paths = materialise(leaves)
-    reach, most = 1, nodes.count()
+    reach = 1
+    endless = jumps.filter(F.col("room") <= reach).select("tree", "node")
+    jumps = jumps.filter(F.col("room") > reach)
     while not jumps.isEmpty():
-        if reach > most:
-            raise ValueError("the reply tree has a cycle")
         here = [F.col("p.tree").eqNullSafe(F.col("j.tree")), F.col("p.node") == F.col("j.node")]
         higher = (
             paths.alias("p")
@@ -68,11 +109,16 @@ def root_to_leaf(nodes: DataFrame) -> DataFrame:
         )
         paths = materialise(paths.unionByName(higher))
         on = [F.col("a.tree").eqNullSafe(F.col("b.tree")), F.col("a.parent") == F.col("b.node")]
-        jumps = materialise(
-            jumps.alias("a").join(jumps.alias("b"), on).select("a.tree", "a.node", "b.parent")
+        further = materialise(
+            jumps.alias("a").join(jumps.alias("b"), on).select("a.tree", "a.node", "b.parent", "a.room")
         )
         reach *= 2
-    return paths
+        endless = endless.unionByName(further.filter(F.col("room") <= reach).select("tree", "node"))
+        jumps = further.filter(F.col("room") > reach)
+    if not endless.isEmpty():
+        never = [F.col("p.tree").eqNullSafe(F.col("e.tree")), F.col("p.leaf") == F.col("e.node")]
+        paths = paths.alias("p").join(endless.alias("e"), never, "left_anti")
+    return paths, endless
 
 
 def format_trees(nodes: DataFrame, branches: int | None = None) -> DataFrame:
@@ -84,8 +130,10 @@ def format_trees(nodes: DataFrame, branches: int | None = None) -> DataFrame:
     the smaller leaf. ``branches`` keeps that many per tree, None all. ``loss_spans`` has, for
     each turn to train on, its number (from 0) and the start and length of its escaped text in
     ``formatted``, in code points. A null tree is a tree of its own; no rows give no rows.
+    Rows without a node id are left out, a repeated node counts once (see ``one_per_node``), and
+    paths that run into a cycle of parents are left out too (see ``rootless``).
     """
-    nodes = nodes.select("tree", "node", "parent", "role", "text", "score")
+    nodes = one_per_node(nodes.select("tree", "node", "parent", "role", "text", "score"))
     paths = root_to_leaf(nodes)
     here = [F.col("p.tree").eqNullSafe(F.col("n.tree")), F.col("p.node") == F.col("n.node")]
     role, body = escaped(F.col("n.role")), escaped(F.col("n.text"))
