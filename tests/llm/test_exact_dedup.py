@@ -59,3 +59,13 @@ def test_no_python_in_the_plan(spark, tmp_path):
     docs = spark.createDataFrame(texts(20, 1), "doc_id long, text string")
     plan = exact_dedup.exact_groups(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_keep_one_with_clashing_names(spark):
+    rows = [(1, "A b", "p", 1), (2, "a B", "q", 2), (2, "a B", "r", 3), (None, "c", None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _mark int")
+    kept = exact_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    found = kept.collect()
+    assert len(found) == 2 and {tuple(r) for r in found} <= set(rows)
+    assert sorted(r.text for r in found) == ["a B", "c"]

@@ -65,6 +65,27 @@ def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
     assert len(whole) == 501 and len(np.unique(whole)) == 38
 
 
+def test_word_hashes_tell_patterned_words_apart():
+    """Thue-Morse words and their complements, which polynomials modulo 2**64 confuse."""
+    words = []
+    for bits in (10, 11, 12):
+        ones = [bin(i).count("1") & 1 for i in range(1 << bits)]
+        words += [bytes(97 + b for b in ones), bytes(98 - b for b in ones)]
+    words += [b"ab", b"ba", b"aab", b"aba", b"baa", "\u00e9".encode(), b"\x00", b"\x00\x00"]
+    found = ngram_join.word_hashes(b" ".join(words))
+    assert len(found) == len(words) == len(np.unique(found))
+
+
+def test_keep_one_with_clashing_names(spark):
+    same = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, same, "a", "b", 1), (3, same + " end", "c", "d", 2), (9, "", "e", "f", 3), (9, None, "g", None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _mark string, _id string, _of int")
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect() if r.text) == [(3, same + " end", "c", "d", 2)]
+    assert kept.count() == 3
+
+
 def test_keep_one_keeps_the_smallest_id_and_all_without_words(spark):
     same = " ".join(f"w{i}" for i in range(40))
     rows = [(5, same, 1), (3, same + " end", 2), (3, same + " end", 3), (None, same, 4), (8, "other words here now yes", 5), (9, "", 6), (9, "", 7), (10, None, 8)]

@@ -91,7 +91,12 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+``, in order."""
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+``, in order.
+
+    Each (place, byte) of a word has a mixed value of its own, and these are added up. (A
+    polynomial modulo 2**64 would not do: words that differ by a Thue-Morse pattern are equal
+    under it, whatever its base.)
+    """
     out, at = [], 0
     while at < len(text):
         end = min(len(text), at + _CHUNK)
@@ -104,11 +109,14 @@ def word_hashes(text: bytes) -> np.ndarray:
         if not len(edge):
             continue
         start, stop = edge[0::2], edge[1::2]
-        up, down = _powers(len(part) + 1)
-        sums = np.zeros(len(part) + 1, dtype=_U)
-        np.cumsum((part.astype(_U) + _U(1)) * up[: len(part)], out=sums[1:])
-        word = (sums[stop] - sums[start]) * down[start]
-        out.append(mix(word ^ ((stop - start).astype(_U) * _U(0xD6E8FEB86659FD93))))
+        size = stop - start
+        first = np.cumsum(size) - size
+        letter = part[~space].astype(_U)
+        place = (np.arange(len(letter)) - np.repeat(first, size)).astype(_U)
+        with np.errstate(over="ignore"):
+            marks = mix((place * _U(256) + letter + _U(1)) * _U(_BASE))
+            word = np.add.reduceat(marks, first)
+            out.append(mix(word ^ (size.astype(_U) * _U(0xD6E8FEB86659FD93))))
     return np.concatenate(out) if out else np.zeros(0, dtype=_U)
 
 
