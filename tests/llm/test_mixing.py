@@ -98,6 +98,20 @@ def test_rows_of_the_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_rows(docs.limit(0)).count() == 0
 
 
+def test_rows_of_the_mix_with_clashing_names(spark):
+    rows = [(i, "a b c" + " d" * (i % 5), "x", -i, f"m{i}", "s", i, 1) for i in range(30)]
+    rows += [(77, "a b c", "x", k, "m", "s", k, 1) for k in range(7)]
+    names = "doc_id long, text string, source string, _size int, _mix_id string, _source string, _twin int, _again int"
+    docs = spark.createDataFrame(rows, names)
+    again = mixing.mixed_rows(docs)
+    assert again.columns == docs.columns
+    found = again.collect()
+    assert {tuple(r) for r in found} <= set(rows)
+    assert len(found) == sum(r.copies for r in mixing.mix(docs).collect())
+    other = mixing.mixed_rows(spark.createDataFrame(rows[::-1], names).repartition(5)).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, other))
+
+
 def test_counts_of_words(spark):
     texts = ["a b", " a\t\tb\n", "", None, "é x y", "\x0b\x0c\r"]
     docs = spark.createDataFrame([(t,) for t in texts], "t string")

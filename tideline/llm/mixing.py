@@ -25,8 +25,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, VariantType
 
 from tideline.llm.registry import named, query, table
+from tideline.llm.rows import free_names
 from tideline.session import materialise
 
 BLOCK_ROWS = 4096
@@ -297,37 +299,51 @@ def mixed_rows(
     source_col: str = "source",
     **settings,
 ) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; columns as they were.
+    """``docs`` with each row as often as the mix takes it; columns as they were, whatever their
+    names.
 
-    Rows alike in id, source and size share their copies: the first ones get theirs first.
+    Rows alike in id, source and size share their copies: those get theirs first whose text,
+    then whose plain columns have the smaller hash, so a task that runs again decides alike.
     """
+    at_id, at_source, at_size, at_twin, copies, source, size, twin, again = free_names(
+        docs,
+        *("_mix_id", "_mix_source", "_mix_size", "_mix_twin", "_mix_copies"),
+        *("_source", "_size", "_twin", "_again"),
+    )
     counted = (
         mix(docs, id_col, text_col, source_col, **settings)
         .filter("copies > 0")
         .select(
-            F.col("id").alias("_mix_id"),
-            F.col("source").alias("_mix_source"),
-            F.col("size").alias("_mix_size"),
-            F.col("twin").alias("_mix_twin"),
-            F.col("copies").alias("_mix_copies"),
+            F.col("id").alias(at_id),
+            F.col("source").alias(at_source),
+            F.col("size").alias(at_size),
+            F.col("twin").alias(at_twin),
+            F.col("copies").alias(copies),
         )
     )
-    alike = W.partitionBy(id_col, "_source", "_size").orderBy(F.lit(0))
+    plain = [
+        named(f.name)
+        for f in docs.schema.fields
+        if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)
+    ]
+    alike = W.partitionBy(named(id_col), F.col(source), F.col(size)).orderBy(
+        F.xxhash64(named(text_col).cast("string")), F.xxhash64(*plain)
+    )
     marked = docs.withColumns(
         {
-            "_source": named(source_col).cast("string"),
-            "_size": words(named(text_col).cast("string")),
+            source: named(source_col).cast("string"),
+            size: words(named(text_col).cast("string")),
         }
-    ).withColumn("_twin", F.row_number().over(alike).cast("long"))
+    ).withColumn(twin, F.row_number().over(alike).cast("long"))
     same = [
-        named(id_col).eqNullSafe(F.col("_mix_id")),
-        F.col("_source").eqNullSafe(F.col("_mix_source")),
-        F.col("_size") == F.col("_mix_size"),
-        F.col("_twin") == F.col("_mix_twin"),
+        named(id_col).eqNullSafe(F.col(at_id)),
+        F.col(source).eqNullSafe(F.col(at_source)),
+        F.col(size) == F.col(at_size),
+        F.col(twin) == F.col(at_twin),
     ]
     joined = marked.join(counted, same)
     return joined.withColumn(
-        "_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))
+        again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))
     ).select(*[named(c) for c in docs.columns])
 
 
