@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,26 +44,50 @@ def test_best_k_equal_brute_force(spark, group_rows, slab_rows):
     assert sorted(map(tuple, found.collect())) == brute(rows, 7, 10)
 
 
-def test_rows_are_left_out_by_bounds(spark):
-    """Groups are sent fewer rows than all when the data has clear cells."""
-    rng = random.Random(2)
-    rows = [(i, [10.0 * math.cos(i % 8), 10.0 * math.sin(i % 8), rng.gauss(0, 0.01)]) for i in range(400)]
-    whole = knn_join.whole_vectors(
-        spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding"
-    )
-    pivots = knn_join.choose_pivots(whole, 8)
-    import numpy as np
-
+def sent_share(rows, pivots, k=3, step=20):
+    """Share of all (query, row) pairs that the bounds leave, and the largest cell's share."""
     vecs = np.array([[math.floor(1024 * x) for x in v] for _, v in rows], float)
     cell, dist = knn_join._nearest(vecs, pivots)
-    summary = {int(c): sorted(dist[cell == c])[:4] for c in set(cell.tolist())}
-    groups = [(int(c), 0, float(dist[cell == c].max())) for c in summary]
-    floors = knn_join._floors(groups, summary, pivots, 3)
-    import pandas as pd
-
-    batch = pd.DataFrame({"id": range(400), "vec": list(vecs), "cell": cell, "dist": dist})
-    sent = sum(len(x) for x in knn_join._send(groups, floors, pivots, 1)([batch]))
-    assert sent < 0.6 * len(groups) * len(rows)
+    summary = {int(c): sorted(dist[cell == c])[: k + 1] for c in set(cell.tolist())}
+    least = knn_join.least_distances(vecs[::step], pivots, summary, float(dist.max()), k)
+    return (dist[None, :] >= least[:, cell]).mean(), np.bincount(cell).max() / len(rows)
+
+
+def test_few_rows_of_clustered_vectors_are_sent(spark):
+    rng = random.Random(2)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(40)]
+    rows = [(i, [x + rng.gauss(0, 0.02) for x in rng.choice(centres)]) for i in range(2000)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    pivots = knn_join.choose_pivots(knn_join.whole_vectors(data, "vec_id", "embedding"), 64)
+    share, _ = sent_share(rows, pivots)
+    assert share < 0.2
+
+
+def test_cells_of_vectors_of_equal_norm_are_balanced(spark):
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(size=(2000, 32))
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(vecs)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    pivots = knn_join.choose_pivots(knn_join.whole_vectors(data, "vec_id", "embedding"), 64)
+    assert sent_share(rows, pivots)[1] < 0.1
+
+
+def test_slabs_hold_every_ring_in_bounds():
+    slabs = knn_join.Slabs({0: (0.0, 8.0, 4), 1: (1.0, 1.0, 1)}, 10)
+    assert slabs.ring(np.array([0, 0, 0, 1]), np.array([0.0, 2.0, 8.0, 1.0])).tolist() == [0, 1, 3, 0]
+    slabs.lay([(0, 0, 4, 1.0), (0, 1, 5, 3.0), (0, 2, 25, 5.0), (0, 3, 6, 8.0), (1, 0, 3, 1.0)])
+    assert slabs.first == {(0, 0): 0, (0, 1): 0, (0, 2): 1, (0, 3): 4, (1, 0): 4}
+    assert slabs.parts == {(0, 0): 1, (0, 1): 1, (0, 2): 3, (0, 3): 1, (1, 0): 1}
+
+
+def test_unequal_lengths_repeated_ids_and_large_components(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) * 2.0**20 for _ in range(rng.choice([2, 3, 5]))]) for i in range(120)]
+    data = spark.createDataFrame(rows + [rows[7]] * 30, "vec_id long, embedding array<double>").repartition(3)
+    found = knn_join.top_k(data, F.col("id") % 10 == 0, k=5, pivots=6, group_rows=4, slab_rows=25)
+    padded = [(i, v + [0.0] * (5 - len(v))) for i, v in rows]
+    assert sorted(map(tuple, found.collect())) == brute(padded, 5, 10)
 
 
 def test_few_rows_and_empty(spark):

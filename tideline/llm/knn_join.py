@@ -1,20 +1,23 @@
 """Exact top-k search by inner product: a Voronoi kNN join.
 
-Queries and data are assigned to the nearest of a bounded set of pivots. Each data cell is
-summarised by the distances of its nearest members to the pivot and by its radius; each group
-of queries by its radius. With pivots p of the group and c of the cell, radius R of the group
-and distance d of a row to its pivot,
-
-    p·c - |p| d - R |c| - R d  <=  q·x  <=  p·c + |p| d + R |c| + R d,
-
-so the summaries alone give every group a score that its k-th best cannot fall below, and a
-row is sent to a group only if its upper bound reaches that score. Each group then scores the
-rows sent to it in bounded slabs, and the best k of the slabs are merged.
-
-Nothing that grows with the data is collected: the driver sees (pivots x k) distances and one
-radius per group. A group has at most ``group_rows`` queries (a pivot with more has several
-groups) and its rows are dealt over slabs, so a hot cell is many tasks. A query that equals
-another row is a row like any other; only the query's own row is left out.
+Queries and data are assigned to the nearest of a bounded set of pivots, rows of the data that
+stand in the middle of balanced cells. A cell is summarised by the distances of its nearest
+members to the pivot, and is cut into rings of distance with an outer radius each. With a query
+q, the pivot c of a cell and a row x at distance d from it,
+
+    q.c - |q| d  <=  q.x  <=  q.c + |q| d,
+
+so the summaries alone give every query a score that its k-th best cannot fall below, and a
+distance per cell from which rows can still reach it. The least of these distances over a group
+of queries says which rows the group is sent; a query is sent only to those slabs of its group
+that hold a ring within its own bound. Each group then scores the rows sent to it in bounded
+slabs, and the best k of the slabs are merged.
+
+Nothing that grows with the data is collected: the driver sees (pivots x k) distances and
+(pivots x rings) radii and counts. A group has about ``group_rows`` queries (a pivot with more has
+several groups) and a ring with more than ``slab_rows`` rows is dealt over slabs, so a hot cell
+is many tasks. A query that equals another row is a row like any other; only the query's own row
+is left out.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from tideline.session import materialise
 PIVOTS = 64
 GROUP_ROWS = 512
 SLAB_ROWS = 50_000
+#: Rings of a cell that has more rows than a slab.
+RINGS = 16
 SCALE = 1024
 # Relative slack for bounds in floating point; scores themselves are whole numbers.
 SLACK = 1e-9
@@ -57,21 +62,20 @@ def whole_vectors(rows: DataFrame, id_col: str, vec_col: str, scale: int = SCALE
     )
 
 
-def choose_pivots(data: DataFrame, pivots: int) -> np.ndarray:
-    """``pivots`` rows of the most common length, spread over the data by farthest-first choice
-    among a few hundred rows of smallest hash: a bounded, repeatable sample."""
-    sample = data.orderBy(F.xxhash64("id"), "id").limit(8 * pivots).collect()
-    if not sample:
-        return np.zeros((0, 0))
-    sizes = [len(r["vec"]) for r in sample]
-    usual = max(set(sizes), key=lambda s: (sizes.count(s), s))
-    points = np.unique(np.array([r["vec"] for r in sample if len(r["vec"]) == usual], float), axis=0)
-    chosen = [points.mean(axis=0)]
-    nearest = np.full(len(points), np.inf)
-    while len(chosen) < min(pivots, len(points)):
-        nearest = np.minimum(nearest, ((points - chosen[-1]) ** 2).sum(axis=1))
-        chosen.append(points[int(nearest.argmax())])
-    return np.array(chosen)
+def _stack(column: pd.Series, dim: int) -> np.ndarray:
+    """Vectors as rows, padded with zeros to ``dim`` or to the longest of them."""
+    vecs = column.to_list()
+    dim = max([dim, *map(len, vecs)])
+    if all(len(v) == dim for v in vecs):
+        return np.vstack(vecs) if vecs else np.zeros((0, dim), dtype="int64")
+    out = np.zeros((len(vecs), dim), dtype="int64")
+    for row, vec in zip(out, vecs):
+        row[: len(vec)] = vec
+    return out
+
+
+def _widened(points: np.ndarray, dim: int) -> np.ndarray:
+    return np.pad(points, ((0, 0), (0, dim - points.shape[1])))
 
 
 def _nearest(vecs: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,58 +84,154 @@ def _nearest(vecs: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return cell, np.linalg.norm(vecs - pivots[cell], axis=1)
 
 
-def _stack(column: pd.Series, dim: int) -> np.ndarray:
-    return np.vstack(column.to_list()).astype(float) if len(column) else np.zeros((0, dim))
+def choose_pivots(data: DataFrame, pivots: int, rounds: int = 8) -> np.ndarray:
+    """At most ``pivots`` rows, each in the middle of a cell of a bounded, repeatable sample.
+
+    The sample is the ``8 * pivots`` rows of smallest hash. Cells start around the first of
+    them, so that dense regions get many; after ``rounds`` of moving each centre to the mean of
+    its cell, the row nearest to a centre is a pivot. (Means themselves would not do: on vectors
+    of equal norm a mean of everything is nearest to nearly every row.)
+    """
+    sample = data.orderBy(F.xxhash64("id"), "id").limit(8 * pivots).collect()
+    if not sample:
+        return np.zeros((0, 0))
+    points = _stack(pd.Series([r["vec"] for r in sample]), 0).astype(float)
+    _, first = np.unique(points, axis=0, return_index=True)
+    points = points[np.sort(first)]
+    centres = points[:pivots].copy()
+    for _ in range(rounds):
+        cell, _ = _nearest(points, centres)
+        held = np.bincount(cell, minlength=len(centres)) > 0
+        centres = np.array([points[cell == c].mean(axis=0) for c in np.flatnonzero(held)])
+    chosen = [int(((points - c) ** 2).sum(axis=1).argmin()) for c in centres]
+    return points[sorted(set(chosen))]
 
 
 def _assign(pivots: np.ndarray):
     def assigned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                cell, dist = _nearest(_stack(batch["vec"], pivots.shape[1]), pivots)
+                vecs = _stack(batch["vec"], pivots.shape[1]).astype(float)
+                cell, dist = _nearest(vecs, _widened(pivots, vecs.shape[1]))
                 yield batch.assign(cell=cell.astype("int32"), dist=dist)
 
     return assigned
 
 
-def _send(groups: list[tuple[int, int, float]], floors: np.ndarray, pivots: np.ndarray, slabs: int):
-    """Rows with the groups that need them: (group, slab) for each bound that reaches."""
-    dots, norms = pivots @ pivots.T, np.linalg.norm(pivots, axis=1)
-    at = np.array([c for c, _, _ in groups], dtype=int)
-    radius = np.array([r for _, _, r in groups])
+class Slabs:
+    """Rings of the cells and the slabs that hold them.
 
-    def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ``rings``: per cell its first and its last distance and how many rings of equal width lie
+    between; ``outer``: the largest distance in each (cell, ring) that has rows; ``first`` and
+    ``parts``: its first slab and over how many it is dealt. Small rings share a slab.
+    """
+
+    def __init__(self, cells: dict[int, tuple[float, float, int]], slab_rows: int):
+        self.cells, self.slab_rows = cells, slab_rows
+        self.outer: dict[tuple[int, int], float] = {}
+        self.first: dict[tuple[int, int], int] = {}
+        self.parts: dict[tuple[int, int], int] = {}
+
+    def ring(self, cell: np.ndarray, dist: np.ndarray) -> np.ndarray:
+        low, high, number = (np.array([self.cells[c][i] for c in cell.tolist()]) for i in range(3))
+        width = np.where(high > low, high - low, 1.0)
+        return np.clip(((dist - low) / width * number).astype(int), 0, number - 1)
+
+    def lay(self, counted: list[tuple[int, int, int, float]]) -> None:
+        at, room = -1, 0
+        for cell, ring, rows, outer in sorted(counted):
+            unit = (cell, ring)
+            self.outer[unit], self.parts[unit] = outer, -(-rows // self.slab_rows)
+            if rows > room or at < 0:
+                at, room = at + 1, self.slab_rows
+                self.first[unit] = at
+                at += self.parts[unit] - 1
+                room = self.slab_rows - rows if self.parts[unit] == 1 else 0
+            else:
+                self.first[unit] = at
+                room -= rows
+
+
+def _ringed(slabs: Slabs):
+    def ringed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            cell, dist = batch["cell"].to_numpy(), batch["dist"].to_numpy()
-            for g in range(len(groups)):
-                p = at[g]
-                reach = norms[p] * dist + radius[g] * norms[cell] + radius[g] * dist
-                upper = dots[p][cell] + reach
-                slack = SLACK * (np.abs(dots[p][cell]) + reach) + 1e-6
-                need = upper + slack >= floors[g]
-                if need.any():
-                    part = batch.loc[need, ["id", "vec"]]
-                    yield part.assign(grp=g, slab=(part["id"].to_numpy() % slabs).astype("int32"))
+            if len(batch):
+                ring = slabs.ring(batch["cell"].to_numpy(), batch["dist"].to_numpy())
+                yield batch[["cell", "dist"]].assign(ring=ring.astype("int32"))
 
-    return sent
+    return ringed
 
 
-def _floors(
-    groups: list[tuple[int, int, float]], summary: dict[int, list[float]], pivots: np.ndarray, k: int
+def least_distances(
+    queries: np.ndarray, pivots: np.ndarray, summary: dict[int, list[float]], far: float, k: int
 ) -> np.ndarray:
-    """A score that the k-th best of every query of the group reaches, from summaries alone."""
-    dots, norms = pivots @ pivots.T, np.linalg.norm(pivots, axis=1)
-    floors = []
-    for p, _, radius in groups:
-        lower = [
-            dots[p, c] - norms[p] * d - radius * norms[c] - radius * d
-            - SLACK * (abs(dots[p, c]) + (norms[p] + radius) * (norms[c] + d)) - 1e-6
-            for c, dists in summary.items()
-            for d in dists
-        ]
-        # One more than k, as a query's own row is among the rows but is not its neighbour.
-        floors.append(sorted(lower, reverse=True)[k] if len(lower) > k else -np.inf)
-    return np.array(floors)
+    """For each query and cell, the distance to the pivot from which a row may be among the k
+    best; ``summary`` has distances of rows with different ids, ``far`` is the largest distance."""
+    centre = queries @ pivots.T
+    norm = np.linalg.norm(queries, axis=1)
+    known = [(c, d) for c, dists in summary.items() for d in dists]
+    least = np.full(centre.shape, -np.inf)
+    if len(known) <= k:
+        return least
+    at, dist = np.array([c for c, _ in known]), np.array([d for _, d in known])
+    lower = centre[:, at] - norm[:, None] * dist[None, :]
+    # One more than k, as a query's own row is among the rows but is not its neighbour.
+    floor = -np.partition(-lower, k, axis=1)[:, k]
+    slack = SLACK * norm * (np.linalg.norm(pivots, axis=1).max() + far) + 1e-6
+    some = norm > 0
+    least[some] = ((floor - 2 * slack)[:, None] - centre)[some] / norm[some, None]
+    return least
+
+
+def _bounds(pivots: np.ndarray, summary: dict[int, list[float]], far: float, k: int):
+    """Per group and cell the least distance of all its queries in the batch."""
+
+    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                vecs = _stack(batch["vec"], pivots.shape[1]).astype(float)
+                least = least_distances(vecs, _widened(pivots, vecs.shape[1]), summary, far, k)
+                low = pd.DataFrame(least).groupby([batch["at"].to_numpy(), batch["part"].to_numpy()]).min()
+                long = low.rename_axis(["at", "part"]).rename_axis(columns="cell").stack().rename("least").reset_index()
+                yield long.astype({"at": "int32", "cell": "int32"})[["at", "part", "cell", "least"]]
+
+    return bounded
+
+
+def _ask(pivots: np.ndarray, summary: dict[int, list[float]], far: float, k: int, slabs: Slabs):
+    """Queries with the slabs that hold a ring within their bound."""
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            vecs = _stack(batch["vec"], pivots.shape[1]).astype(float)
+            least = least_distances(vecs, _widened(pivots, vecs.shape[1]), summary, far, k)
+            wanted: dict[int, np.ndarray] = {}
+            for unit, outer in slabs.outer.items():
+                need = outer >= least[:, unit[0]]
+                for slab in range(slabs.first[unit], slabs.first[unit] + slabs.parts[unit]):
+                    wanted[slab] = wanted[slab] | need if slab in wanted else need
+            for slab, need in wanted.items():
+                if need.any():
+                    yield batch.loc[need, ["id", "vec", "at", "part"]].assign(slab=slab)
+
+    return asked
+
+
+def _place(slabs: Slabs):
+    """The slab of each row."""
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                cell = batch["cell"].to_numpy()
+                units = list(zip(cell.tolist(), slabs.ring(cell, batch["dist"].to_numpy()).tolist()))
+                first = np.array([slabs.first[u] for u in units])
+                parts = np.array([slabs.parts[u] for u in units])
+                yield batch.assign(slab=(first + batch["id"].to_numpy() % parts).astype("int32"))
+
+    return placed
 
 
 def _solve(k: int):
@@ -139,19 +239,28 @@ def _solve(k: int):
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(queries) and len(rows):
             rows = rows.sort_values("id", kind="stable")
-            ids, vecs = rows["id"].to_numpy(), np.vstack(rows["vec"].to_list()).astype(float)
-            for q, vec in zip(queries["id"].to_numpy(), queries["vec"].to_list()):
-                # Whole numbers below 2**53: exact in floating point, in any order of summing.
-                score = vecs @ np.asarray(vec, float)
-                score[ids == q] = -np.inf
+            ids, vecs = rows["id"].to_numpy(), _stack(rows["vec"], 0)
+            asked = _stack(queries["vec"], vecs.shape[1])
+            vecs = _widened(vecs, asked.shape[1])
+            # Below 2**53 sums are exact in floating point, in any order; beyond, as integers.
+            longest = [np.sqrt((m.astype(float) ** 2).sum(axis=1).max()) for m in (vecs, asked)]
+            if longest[0] * longest[1] < 2.0**53:
+                vecs, asked = vecs.astype(float), asked.astype(float)
+            for q, vec in zip(queries["id"].to_numpy(), asked):
+                other = ids != q
+                score = (vecs @ vec)[other].astype("int64")
+                theirs = ids[other]
                 take = min(k, len(score))
-                # All rows at the k-th score, so that ties are settled by id below.
-                kth = np.partition(score, len(score) - take)[len(score) - take]
-                near = np.flatnonzero((score >= kth) & (score > -np.inf))
-                near = near[np.lexsort((ids[near], -score[near]))][:k]
-                out["query_id"] += [q] * len(near)
-                out["vec_id"] += ids[near].tolist()
-                out["score"] += score[near].astype("int64").tolist()
+                if take:
+                    # All rows at the k-th score, so that ties are settled by id below; an id
+                    # that is repeated takes several places here, but one in the result.
+                    kth = np.sort(score)[len(score) - take] if len(np.unique(theirs)) == len(theirs) else None
+                    near = np.flatnonzero(score >= kth) if kth is not None else np.arange(len(score))
+                    near = near[np.lexsort((theirs[near], -score[near]))]
+                    pairs = list(dict.fromkeys(zip(theirs[near].tolist(), score[near].tolist())))[:k]
+                    out["query_id"] += [q] * len(pairs)
+                    out["vec_id"] += [i for i, _ in pairs]
+                    out["score"] += [v for _, v in pairs]
         return pd.DataFrame(out)
 
     return lambda queries, rows: best(queries, rows)
@@ -171,10 +280,10 @@ def top_k(
     """The ``k`` rows of highest inner product for each query row: ``query_id``, ``rank``,
     ``vec_id``, ``score``; ties go to the smaller id. A query with fewer candidates gets all.
 
-    ``is_query`` is a condition on ``id``. Unsound vectors (see ``whole_vectors``) take no part,
-    nor do vectors whose length is not that of most. Rows with the same id are one another's
-    own row; of rows alike in id and score one is listed. No rows give no rows. Other columns
-    of ``data`` are not read.
+    ``is_query`` is a condition on ``id``. Unsound vectors (see ``whole_vectors``) take no part;
+    of vectors of unequal length the shorter counts as padded with zeros. Scores have to fit in
+    64 bits. Rows with the same id are one another's own row; of rows alike in id and score one
+    is listed. No rows give no rows. Other columns of ``data`` are not read.
     """
     spark = data.sparkSession
     whole = whole_vectors(data, id_col, vec_col, scale)
@@ -182,14 +291,15 @@ def top_k(
     empty = "query_id long, rank int, vec_id long, score long"
     if not len(chosen):
         return spark.createDataFrame([], empty)
-    usual = whole.filter(F.size("vec") == chosen.shape[1])
     schema = "id long, vec array<long>, cell int, dist double"
-    placed = materialise(usual.mapInPandas(_assign(chosen), schema))
+    placed = materialise(whole.mapInPandas(_assign(chosen), schema))
 
+    # The nearest of each cell, every id once: first of every part of it, then of the cell.
     nearest = W.partitionBy("cell", "part").orderBy("dist")
-    # The nearest of each cell: first of every part of it, then of the cell.
     firsts = (
-        placed.select("cell", "dist", F.pmod(F.xxhash64("id"), F.lit(256)).alias("part"))
+        placed.groupBy("id")
+        .agg(F.min(F.struct("dist", "cell")).alias("near"))
+        .select("near.cell", "near.dist", F.pmod(F.xxhash64("id"), F.lit(256)).alias("part"))
         .withColumn("place", F.row_number().over(nearest))
         .filter(F.col("place") <= k + 1)
         .withColumn("place", F.row_number().over(W.partitionBy("cell").orderBy("dist")))
@@ -199,33 +309,26 @@ def top_k(
     for row in firsts.select("cell", "dist").collect():
         summary.setdefault(row["cell"], []).append(row["dist"])
 
-    asked = placed.filter(is_query)
-    per_cell = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("parts"))
-    per_cell = materialise(per_cell)
-    grouped = asked.join(per_cell, "cell").withColumn(
-        "part", F.pmod(F.xxhash64("id"), F.col("parts"))
-    )
-    radii = grouped.groupBy("cell", "part").agg(F.max("dist").alias("radius"))
-    groups = sorted((r["cell"], r["part"], r["radius"]) for r in radii.collect())
-    if not groups:
-        return spark.createDataFrame([], empty)
-    floors = _floors(groups, summary, chosen, k)
-    rows = placed.count()
-    slabs = max(1, -(-rows // slab_rows))
-    sent = placed.mapInPandas(
-        _send(groups, floors, chosen, slabs), "id long, vec array<long>, grp int, slab int"
+    slabs = cut_slabs(placed, slab_rows)
+    far = max(high for _, high, _ in slabs.cells.values())
+    asked = placed.filter(is_query).select("id", "vec", F.col("cell").alias("at"))
+    per_cell = materialise(asked.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("parts")))
+    grouped = asked.join(per_cell, "at").select("id", "vec", "at", F.pmod(F.xxhash64("id"), "parts").alias("part"))
+    needs = materialise(
+        grouped.mapInPandas(_bounds(chosen, summary, far, k), "at int, part long, cell int, least double")
+        .groupBy("at", "part", "cell")
+        .agg(F.min("least").alias("least"))
     )
-    numbers = spark.createDataFrame(
-        [(c, p, g) for g, (c, p, _) in enumerate(groups)], "cell int, part long, grp int"
+    slabbed = placed.mapInPandas(_place(slabs), f"{schema}, slab int")
+    sent = (
+        slabbed.join(needs, "cell").filter(F.col("dist") >= F.col("least")).select("id", "vec", "at", "part", "slab")
     )
-    asked_of = (
-        grouped.join(numbers, ["cell", "part"])
-        .select("id", "vec", "grp")
-        .withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))))
+    asked_of = grouped.mapInPandas(
+        _ask(chosen, summary, far, k, slabs), "id long, vec array<long>, at int, part long, slab int"
     )
     found = (
-        asked_of.groupBy("grp", "slab")
-        .cogroup(sent.groupBy("grp", "slab"))
+        asked_of.groupBy("at", "part", "slab")
+        .cogroup(sent.groupBy("at", "part", "slab"))
         .applyInPandas(_solve(k), "query_id long, vec_id long, score long")
     )
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -237,6 +340,21 @@ def top_k(
     )
 
 
+def cut_slabs(placed: DataFrame, slab_rows: int) -> Slabs:
+    """Rings and slabs for rows with ``cell`` and ``dist``: two aggregates, at most ``RINGS`` rows
+    a cell."""
+    cells = placed.groupBy("cell").agg(
+        F.min("dist").alias("low"), F.max("dist").alias("high"), F.count(F.lit(1)).alias("rows")
+    )
+    slabs = Slabs(
+        {r["cell"]: (r["low"], r["high"], min(RINGS, -(-r["rows"] // slab_rows))) for r in cells.collect()}, slab_rows
+    )
+    rings = placed.select("cell", "dist").mapInPandas(_ringed(slabs), "cell int, dist double, ring int")
+    counted = rings.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("rows"), F.max("dist").alias("outer"))
+    slabs.lay([tuple(r) for r in counted.collect()])
+    return slabs
+
+
 ORACLE = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS vec
