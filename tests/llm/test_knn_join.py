@@ -81,6 +81,13 @@ def test_slabs_hold_every_ring_in_bounds():
     assert slabs.parts == {(0, 0): 1, (0, 1): 1, (0, 2): 3, (0, 3): 1, (1, 0): 1}
 
 
+def test_near_cells_with_few_queries_share_a_group():
+    pivots = np.array([[0.0], [10.0], [1.0], [11.0], [2.0]])
+    found = knn_join.bundles([(0, 3), (1, 4), (2, 3), (3, 25), (4, 4)], pivots, 10)
+    assert found == [(0, 0, 1), (2, 0, 1), (4, 0, 1), (1, 1, 1), (3, 2, 3)]
+    assert knn_join.bundles([], pivots, 10) == []
+
+
 def test_unequal_lengths_repeated_ids_and_large_components(spark):
     rng = random.Random(4)
     rows = [(i, [rng.uniform(-1, 1) * 2.0**20 for _ in range(rng.choice([2, 3, 5]))]) for i in range(120)]

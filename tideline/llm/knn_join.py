@@ -15,7 +15,7 @@ slabs, and the best k of the slabs are merged.
 
 Nothing that grows with the data is collected: the driver sees (pivots x k) distances and
 (pivots x rings) radii and counts. A group has about ``group_rows`` queries (a pivot with more has
-several groups) and a ring with more than ``slab_rows`` rows is dealt over slabs, so a hot cell
+several, near ones with few share one) and a ring with more than ``slab_rows`` rows is dealt over slabs, so a hot cell
 is many tasks. A query that equals another row is a row like any other; only the query's own row
 is left out.
 """
@@ -152,6 +152,27 @@ class Slabs:
                 room -= rows
 
 
+def bundles(asked: list[tuple[int, int]], pivots: np.ndarray, group_rows: int) -> list[tuple[int, int, int]]:
+    """The group of each cell, and over how many parts the group is dealt: (cell, group, parts).
+
+    ``asked`` has the number of queries of each cell. A cell with more than ``group_rows`` is a group
+    of several parts; smaller ones share a group with near cells, so that a row that several of
+    them need is sent once.
+    """
+    number, out, group, room = dict(asked), [], -1, 0
+    left = sorted(number)
+    at = left[0] if left else None
+    while left:
+        at = min(left, key=lambda c: (float(((pivots[c] - pivots[at]) ** 2).sum()), c))
+        left.remove(at)
+        parts = -(-number[at] // group_rows)
+        if number[at] > room:
+            group, room = group + 1, group_rows if parts == 1 else 0
+        room -= number[at] if parts == 1 else 0
+        out.append((at, group, parts))
+    return out
+
+
 def _ringed(slabs: Slabs):
     def ringed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -312,8 +333,11 @@ def top_k(
     slabs = cut_slabs(placed, slab_rows)
     far = max(high for _, high, _ in slabs.cells.values())
     asked = placed.filter(is_query).select("id", "vec", F.col("cell").alias("at"))
-    per_cell = materialise(asked.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("parts")))
-    grouped = asked.join(per_cell, "at").select("id", "vec", "at", F.pmod(F.xxhash64("id"), "parts").alias("part"))
+    per_cell = [tuple(r) for r in asked.groupBy("at").agg(F.count(F.lit(1))).collect()]
+    dealt = spark.createDataFrame(bundles(per_cell, chosen, group_rows), "at int, grp int, parts long")
+    grouped = asked.join(dealt, "at").select(
+        "id", "vec", F.col("grp").alias("at"), F.pmod(F.xxhash64("id"), "parts").alias("part")
+    )
     needs = materialise(
         grouped.mapInPandas(_bounds(chosen, summary, far, k), "at int, part long, cell int, least double")
         .groupBy("at", "part", "cell")
