@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import curation, features
 from tideline.params import CurationParams
-from tideline.plans import ALL_QUERIES, stages
+from tideline.plans import ALL_ORACLES, ALL_QUERIES, stages
 from tideline.sources.star_schema import read_table
 
 SMALL = "/root/testdata/sf0.001"
@@ -53,3 +53,9 @@ def test_lines_are_not_shuffled_on_country(spark):
     plan = plan_of(curation.country_grouping(lines, CurationParams(min_lines_per_country=10)))
     assert "BroadcastHashJoin" in plan
     assert "SortMergeJoin" not in plan and "hashpartitioning(country" not in plan
+
+
+def test_every_regressor_covers_the_cohort():
+    for name in ("ridge", "random_forest", "gradient_boosting", "tweedie"):
+        assert name in stages.REGRESSORS
+        assert f"'{name}'" in ALL_ORACLES["regressors_cover_the_cohort"]
