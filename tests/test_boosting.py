@@ -8,6 +8,7 @@ import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.sql import functions as F
 
 from tideline.operators import boosting
 from tideline.operators import explain
@@ -158,3 +159,15 @@ def test_other_losses_with_weights_and_contributions(spark, loss):
     mean_value = explain.base_value(explain.read_trees(model.stages[-1]))
     for r in explain.tree_shap(model, table, ["customer_id"]).collect():
         assert fitted.base + mean_value + sum(r.shap) == pytest.approx(margins[r.customer_id])
+
+
+def test_rows_of_one_block_take_few_jobs(spark):
+    rng = F.rand(1)
+    table = spark.range(40_000, numPartitions=4).select(F.array(rng, F.rand(2)).alias("x"), F.rand(3).alias("y"))
+    spark.sparkContext.setJobGroup("boost", "rounds of one block")
+    try:
+        found = boost(table, "x", "y", BoostParams(rounds=10, depth=4))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(found.trees) == 10
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("boost")) < 15
