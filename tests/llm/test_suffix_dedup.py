@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
+import pytest
 
 from tests.llm.brute import repeated, sha
 from tideline.llm import suffix_dedup
@@ -81,3 +83,24 @@ def test_repeated_rows_and_empty(spark):
     check(spark, [(1, "abcdefghij" * 2 + "tail"), (1, "abcdefghij" * 2 + "tail"), (2, "short")])
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+@pytest.mark.parametrize(("contexts", "cell"), [(2, 4), (1, 3), (4, 1), (3, 100)])
+def test_anchors_with_many_contexts_equal_brute_force(spark, monkeypatch, contexts, cell):
+    monkeypatch.setattr(suffix_dedup, "ANCHOR_CONTEXTS", contexts)
+    monkeypatch.setattr(suffix_dedup, "CELL", cell)
+    rng = random.Random(5)
+    passage = "".join(rng.choices("abcd", k=26))
+    near = [f"{''.join(rng.choices('ef', k=3))}{passage[: rng.randint(16, 26)]}{i}" for i in range(12)]
+    rows = list(enumerate(documents(6) + near + [f"{i}{passage}{i}" for i in range(12)] + [near[0], near[0]]))
+    check(spark, rows)
+
+
+def test_windows_of_many_contexts_are_not_rows_of_their_own():
+    """A common passage made one row of each of its windows in each text."""
+    rng = random.Random(7)
+    texts = [bytes(rng.choices(range(97, 123), k=767)) for _ in range(20)]
+    row = {"fp": 1, "ctx": range(20), "windows": 369 - 1, "offset": 368 - 1, "bytes": texts, "copies": 1}
+    (found,) = suffix_dedup._cells(400, suffix_dedup.CELL)(iter([pd.DataFrame(row)]))
+    assert found["windows"].sum() == 20 * 368  # each window in one cell
+    assert len(found) <= 20 * (369 // suffix_dedup.CELL + 2)
