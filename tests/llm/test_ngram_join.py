@@ -107,3 +107,10 @@ def test_nulls_repeats_and_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.similar_components(empty).count() == 0
     assert ngram_join.keep_one(empty).count() == 0
+
+
+def test_signatures_are_dealt_into_pieces():
+    sigs = ngram_join.signatures(ngram_join.shingle_set(" ".join(f"w{i}" for i in range(300))), 80, 100)
+    pieces = ngram_join._dealt(sigs)
+    assert len(pieces) == ngram_join.PIECES and max(map(len, pieces)) < len(sigs) / 2
+    assert sorted(np.concatenate(pieces)) == sorted(sigs.view(np.int64))

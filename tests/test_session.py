@@ -56,3 +56,17 @@ def test_writes_side_by_side_leave_the_setting_as_it_was(spark):
     frames = side_by_side({str(n): lambda n=n: session.materialise(spark.range(n)) for n in range(1, 7)})
     assert {name: frame.count() for name, frame in frames.items()} == {str(n): n for n in range(1, 7)}
     assert spark.conf.get(session.CLEANUP) == "false"
+
+
+def test_python_gets_few_rows_at_once(spark):
+    """A bound on batches holds for one write, and never raises a lower one."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.assign(id=len(batch))
+
+    frame = spark.range(100, numPartitions=1).mapInPandas(sizes, "id long")
+    before = spark.conf.get(session.BATCH_ROWS)
+    assert {r.id for r in session.materialise(frame, 10).collect()} == {10}
+    assert {r.id for r in session.materialise(frame).collect()} == {100}
+    assert spark.conf.get(session.BATCH_ROWS) == before
