@@ -132,6 +132,16 @@ def test_long_chains_of_forms(spark):
     assert {r.root for r in spelling.with_roots(forms).collect()} == {words[-1]}
 
 
+def test_tables_that_grow_are_not_broadcast(spark):
+    """Words are few bytes where their keys, links and forms are many rows: none goes by the driver."""
+    words = spark.createDataFrame([("abcde", 9), ("abcdf", 4), ("abcdg", 4)], "word string, n long")
+    forms = spelling.with_forms(words, spelling.near_words(words))
+    roots = spelling.with_roots(forms)
+    assert {(r.word, r.n_near, r.root) for r in roots.collect()} == {(w, 2, "abcde") for w in ("abcde", "abcdf", "abcdg")}
+    plan = roots._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 3 and "Broadcast" not in plan
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert spelling.variants(docs).count() == 0

@@ -15,9 +15,10 @@ part, which holds the edit, is halved, and one of its halves is equal too and jo
 Candidates that meet at a key are verified by the edit distance.
 
 The bigram table is broadcast: bigrams are pairs of the letters that words consist of, so it has
-at most 90 * 90 entries whatever the input. Words, keys and links are tables spread by hash. Forms
-are followed to their roots by doubling: each step at least doubles the count of occurrences, so
-there are no circles and few rounds.
+at most 90 * 90 entries whatever the input. Words, keys and links are tables spread by hash: their
+joins are merges by hint, as Spark takes all keys of a word for no more bytes than the written word
+and would send millions of them through the driver. Forms are followed to their roots by doubling:
+each step at least doubles the count of occurrences, so there are no circles and few rounds.
 
 Nulls: null texts have no words; a null id is spelt as the empty text. Repeated rows are documents
 of their own. Empty tables give no rows. Other columns are not read. Ties for a form go to the
@@ -200,7 +201,7 @@ def near_words(words: DataFrame) -> DataFrame:
     index = words.select("word", "n").mapInArrow(_keyed(frequency, True), schema)
     probe = words.select("word", "n").mapInArrow(_keyed(frequency, False), schema)
     index = index.select("key", F.col("word").alias("v"), F.col("n").alias("n_v"))
-    pairs = probe.join(index, "key").filter(
+    pairs = probe.join(index.hint("merge"), "key").filter(
         (F.col("word") != F.col("v"))
         & (F.abs(F.length("word") - F.length("v")) <= 1)
         & (F.levenshtein("word", "v", 1) == 1)
@@ -225,7 +226,7 @@ def with_forms(words: DataFrame, links: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("n")).alias("minus"), "b")).alias("best")
     )
     common = -F.col("best.minus") >= TIMES * F.col("n")
-    return words.join(best, "word", "left").select(
+    return words.join(best.hint("merge"), "word", "left").select(
         "word",
         "n",
         F.coalesce("n_near", F.lit(0)).alias("n_near"),
@@ -239,14 +240,14 @@ def with_roots(found: DataFrame) -> DataFrame:
     ahead = materialise(found.filter("form IS NOT NULL").select("word", F.col("form").alias("root")))
     while True:
         step = ahead.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        farther = ahead.join(step, "root", "left").select(
+        farther = ahead.join(step.hint("merge"), "root", "left").select(
             "word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")
         )
         farther = materialise(farther)
         ahead = farther.drop("moved")
         if farther.filter("moved").isEmpty():
             break
-    return found.join(ahead, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return found.join(ahead.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
